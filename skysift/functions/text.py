@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Text taken as "yes".
 YES_WORDS = ["1", "yes", "y", "true", "interesting", "selected"]
@@ -116,7 +117,7 @@ def expert_name(path: Column | str) -> Column:
     return F.when(name == "", F.lit("Unknown")).otherwise(name)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 

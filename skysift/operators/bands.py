@@ -30,24 +30,24 @@ def score_bands(df: DataFrame, keys: list[str], score: str = "score", truth: str
     )
 
 
-def _rated(points: DataFrame, keys: list[str]) -> DataFrame:
-    precision, recall = share(F.col("tp"), F.col("tp") + F.col("fp")), share(F.col("tp"), F.col("tp") + F.col("fn"))
-    rated = points.withColumn("precision", precision).withColumn("recall", recall)
-    return rated.withColumn("f1", f1_of(F.col("precision"), F.col("recall"))).select(
-        *keys, "threshold", "kind", "tp", "fp", "fn", "tn", "precision", "recall", "f1"
-    )
-
-
-def _counts(threshold: Column, kind: str, n: Column, tp: Column) -> list[Column]:
+def _point(threshold: Column, kind: str, n: Column, tp: Column) -> Column:
     """Confusion counts of the prediction score >= threshold from images and positives chosen."""
-    return [
+    return F.struct(
         threshold.cast("double").alias("threshold"),
         F.lit(kind).alias("kind"),
         tp.alias("tp"),
         (n - tp).alias("fp"),
         (F.col("p_all") - tp).alias("fn"),
         (F.col("n_all") - F.col("p_all") - (n - tp)).alias("tn"),
-    ]
+    )
+
+
+def _rated(points: DataFrame, keys: list[str]) -> DataFrame:
+    precision, recall = share(F.col("tp"), F.col("tp") + F.col("fp")), share(F.col("tp"), F.col("tp") + F.col("fn"))
+    rated = points.withColumn("precision", precision).withColumn("recall", recall)
+    return rated.withColumn("f1", f1_of(F.col("precision"), F.col("recall"))).select(
+        *keys, "threshold", "kind", "tp", "fp", "fn", "tn", "precision", "recall", "f1"
+    )
 
 
 def threshold_metrics(
@@ -58,22 +58,26 @@ def threshold_metrics(
     `floor` adds the threshold one below the lowest score (everything chosen),
     `top` one above the highest (nothing chosen), `cuts` fixed thresholds.
     """
-    frames = [bands.select(*keys, *_counts(F.col("score"), "score", F.col("n_ge"), F.col("tp_ge")))]
-    whole = bands.groupBy(*keys).agg(
-        F.min("score").alias("lowest"), F.max("score").alias("highest"),
-        F.max("n_all").alias("n_all"), F.max("p_all").alias("p_all"),
-        *[F.coalesce(F.sum(F.when(F.col("score") >= c, F.col(v))), F.lit(0)).alias(f"_{v}{i}")
-          for i, c in enumerate(cuts) for v in ("n", "tp")],
-        *[F.count(F.when(F.col("score") == c, 1)).alias(f"_has{i}") for i, c in enumerate(cuts)],
-    )
     none = F.lit(0).cast("bigint")
+    points = [_point(F.col("score"), "score", F.col("n_ge"), F.col("tp_ge"))]
+    # The lowest and the highest band also stand for the points beyond them.
     if floor:
-        frames.append(whole.select(*keys, *_counts(F.col("lowest") - 1, "floor", F.col("n_all"), F.col("p_all"))))
+        lowest = F.col("n_ge") == F.col("n_all")
+        points.append(F.when(lowest, _point(F.col("score") - 1, "floor", F.col("n_all"), F.col("p_all"))))
     if top:
-        frames.append(whole.select(*keys, *_counts(F.col("highest") + 1, "top", none, none)))
-    for i, c in enumerate(cuts):
-        absent = whole.filter(F.col(f"_has{i}") == 0)
-        frames.append(absent.select(*keys, *_counts(F.lit(c), "cut", F.col(f"_n{i}"), F.col(f"_tp{i}"))))
+        highest = F.col("n_ge") == F.col("n")
+        points.append(F.when(highest, _point(F.col("score") + 1, "top", none, none)))
+    frames = [bands.select(*keys, F.explode(F.array_compact(F.array(*points))).alias("_p")).select(*keys, "_p.*")]
+    if cuts:
+        whole = bands.groupBy(*keys).agg(
+            F.max("n_all").alias("n_all"), F.max("p_all").alias("p_all"),
+            *[F.coalesce(F.sum(F.when(F.col("score") >= c, F.col(v))), F.lit(0)).alias(f"_{v}{i}")
+              for i, c in enumerate(cuts) for v in ("n", "tp")],
+            *[F.count(F.when(F.col("score") == c, 1)).alias(f"_has{i}") for i, c in enumerate(cuts)],
+        )
+        extra = [F.when(F.col(f"_has{i}") == 0, _point(F.lit(c), "cut", F.col(f"_n{i}"), F.col(f"_tp{i}")))
+                 for i, c in enumerate(cuts)]
+        frames.append(whole.select(*keys, F.explode(F.array_compact(F.array(*extra))).alias("_p")).select(*keys, "_p.*"))
     return _rated(stacked(frames), keys)
 
 
@@ -102,6 +106,21 @@ def best_threshold(bands: DataFrame, keys: list[str], rule: str = "t1") -> DataF
     return first_in(points, keys, order).drop("kind")
 
 
+def _area(dialect: str) -> Column:
+    """What a band adds to the area under the precision-recall curve."""
+    gained = share(F.col("tp"), F.col("p_all"))
+    here = share(F.col("tp_ge"), F.col("n_ge"))
+    before = share(F.col("tp_ge") - F.col("tp"), F.col("n_ge") - F.col("n"))
+    first = F.col("n_ge") == F.col("n")
+    if dialect == "step":
+        return F.when(first, 0.0).otherwise(gained * here)
+    if dialect == "trapezoid":
+        return gained * (before + here) / 2
+    if dialect == "library":
+        return gained * (F.when(first, 1.0).otherwise(before) + here) / 2
+    raise ValueError(f"unknown dialect {dialect!r}")
+
+
 def pr_auc(
     bands: DataFrame, keys: list[str], dialect: str = "step", reach: float | None = None
 ) -> DataFrame:
@@ -116,20 +135,9 @@ def pr_auc(
     """
     if dialect == "sorted":
         return _sorted_auc(bands, keys, reach)
-    gained = share(F.col("tp"), F.col("p_all"))
-    here = share(F.col("tp_ge"), F.col("n_ge"))
-    before = share(F.col("tp_ge") - F.col("tp"), F.col("n_ge") - F.col("n"))
-    first = F.col("n_ge") == F.col("n")
-    if dialect == "step":
-        area = F.when(first, 0.0).otherwise(gained * here)
-    elif dialect == "trapezoid":
-        area = gained * (before + here) / 2
-    elif dialect == "library":
+    if dialect == "library":
         bands = bands.filter(F.col("p_all") > 0)
-        area = gained * (F.when(first, 1.0).otherwise(before) + here) / 2
-    else:
-        raise ValueError(f"unknown dialect {dialect!r}")
-    return bands.groupBy(*keys).agg(F.sum(area).alias("pr_auc"))
+    return bands.groupBy(*keys).agg(F.sum(_area(dialect)).alias("pr_auc"))
 
 
 def _sorted_auc(bands: DataFrame, keys: list[str], reach: float | None) -> DataFrame:
@@ -154,16 +162,40 @@ def _sorted_auc(bands: DataFrame, keys: list[str], reach: float | None) -> DataF
     return every.join(found, keys, "left").select(*keys, F.coalesce("_area", F.lit(0.0)).alias("pr_auc"))
 
 
+def _recall_place(n: int) -> tuple[Column, Column]:
+    """(whether rank n falls into the band, expected recall there)."""
+    place = F.least(F.greatest(F.lit(n), F.lit(1)), F.col("n_all"))
+    above = F.col("n_ge") - F.col("n")
+    hits = F.col("tp_ge") - F.col("tp") + F.col("tp") * (place - above) / F.col("n")
+    return (above < place) & (place <= F.col("n_ge")), share(hits, F.col("p_all"))
+
+
 def recall_at(bands: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Exact expected recall among the top n under a random order of ties.
 
     n is held within 1 and the number of images; no positives give 0.
     """
-    place = F.least(F.greatest(F.lit(n), F.lit(1)), F.col("n_all"))
-    above = F.col("n_ge") - F.col("n")
-    inside = bands.filter((above < place) & (place <= F.col("n_ge")))
-    hits = F.col("tp_ge") - F.col("tp") + F.col("tp") * (place - above) / F.col("n")
-    return inside.select(*keys, share(hits, F.col("p_all")).alias("recall_at_n"))
+    inside, recall = _recall_place(n)
+    return bands.filter(inside).select(*keys, recall.alias("recall_at_n"))
+
+
+def run_summary(bands: DataFrame, keys: list[str], n: int, dialect: str = "step") -> DataFrame:
+    """Best threshold under rule t1, area, recall among the top n and sizes, in one aggregation."""
+    precision, recall = share(F.col("tp_ge"), F.col("n_ge")), share(F.col("tp_ge"), F.col("p_all"))
+    # Choosing everything has the lowest band's metrics at a lower threshold, so it stands in for that band.
+    threshold = F.col("score") - F.when(F.col("n_ge") == F.col("n_all"), 1.0).otherwise(0.0)
+    point = F.struct(f1_of(precision, recall).alias("f1"), (-threshold).alias("t"), precision.alias("precision"),
+                     recall.alias("recall"))
+    inside, recall_there = _recall_place(n)
+    sums = bands.groupBy(*keys).agg(
+        F.max(point).alias("_b"), F.sum(_area(dialect)).alias("pr_auc"),
+        F.max(F.when(inside, recall_there)).alias("recall_at_n"),
+        F.max("n_all").alias("n_images"), F.max("p_all").alias("positives"),
+    )
+    return sums.select(
+        *keys, "n_images", "positives", (-F.col("_b.t")).alias("threshold"), F.col("_b.f1").alias("f1"),
+        F.col("_b.precision").alias("precision"), F.col("_b.recall").alias("recall"), "pr_auc", "recall_at_n",
+    )
 
 
 def recall_curve(bands: DataFrame, keys: list[str]) -> DataFrame:

@@ -79,7 +79,7 @@ def fit_linear(train: DataFrame, features: list[str], target: str) -> LinearMode
         raise ValueError("no training row has a target")
     medians = []
     for f, n in zip(features, names):
-        found = exact_quantiles(rows.withColumn("_all", F.lit(1)), ["_all"], n, {"median": 0.5}).first()
+        found = exact_quantiles(rows.withColumn("_whole", F.lit(1)), ["_whole"], n, {"median": 0.5}).first()
         if found is None:
             raise ValueError(f"feature {f!r} is missing on every training row")
         medians.append(found["median"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.operators.ordering import first_in
 
 # USD per million tokens (input, output).
 PRICES = {"gemini": (0.25, 1.50), "qwen": (0.45, 3.00)}
@@ -145,26 +144,26 @@ def provider_summary(runs: DataFrame) -> DataFrame:
     Runs need provider, format, run, f1, recall_at_n, pr_auc, cost, cost_per_1k.
     The first run settles ties.
     """
-    means = runs.groupBy("provider").agg(
+
+    def leader(order: Column) -> Column:
+        return F.min(F.struct(order.alias("by"), F.col("run"), F.col("format")))
+
+    sums = runs.groupBy("provider").agg(
         F.count("*").alias("runs"),
         F.avg("f1").alias("avg_f1"),
         F.avg("pr_auc").alias("avg_auc"),
         F.avg("recall_at_n").alias("avg_recall_at_n"),
         F.sum("cost").alias("total_cost"),
+        leader(-F.col("f1")).alias("_f"),
+        leader(-F.col("recall_at_n")).alias("_r"),
+        leader(F.col("cost_per_1k")).alias("_c"),
+    )
+    return sums.select(
+        "provider", "runs", "avg_f1", "avg_auc", "avg_recall_at_n", "total_cost",
+        (-F.col("_f.by")).alias("best_f1"), F.col("_f.format").alias("best_config"),
+        (-F.col("_r.by")).alias("best_recall_at_n"), F.col("_r.format").alias("best_recall_config"),
+        F.col("_c.by").alias("cheapest_cost_per_1k"), F.col("_c.format").alias("cheapest_config"),
     )
-
-    def pick(order: Column, value: str, as_value: str, as_format: str) -> DataFrame:
-        best = first_in(runs, ["provider"], [order, F.col("run")])
-        return best.select("provider", F.col(value).alias(as_value), F.col("format").alias(as_format))
-
-    out = means
-    for part in (
-        pick(F.col("f1").desc(), "f1", "best_f1", "best_config"),
-        pick(F.col("recall_at_n").desc(), "recall_at_n", "best_recall_at_n", "best_recall_config"),
-        pick(F.col("cost_per_1k").asc(), "cost_per_1k", "cheapest_cost_per_1k", "cheapest_config"),
-    ):
-        out = out.join(part, "provider")
-    return out
 
 
 def group_index(groups: DataFrame, within: str = "provider", by: list[str] = ("format",)) -> DataFrame:
