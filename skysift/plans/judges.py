@@ -3,7 +3,8 @@
 A judge is a function from a DataFrame of groups to the same rows with a
 decision. Groups hold run, round, grp, slot, id and the item columns; a decision
 is `kept` 0/1 for retention and elimination, `score` for rating grids. A null
-decision is a failed call. Token counts are optional.
+decision is a failed call. Token counts are optional. Rows with a null grp sit
+the round out; they must come back, and whatever is decided on them is ignored.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Judge = Callable[[DataFrame], DataFrame]
@@ -32,17 +33,12 @@ def rule_judge(decision: Column, out: str = "kept") -> Judge:
 
 
 def best_of_pair(strength: Column) -> Judge:
-    """The stronger image of each pair wins; the lower slot wins a tie.
-
-    A pair is brought together by a combined aggregation over its two rows.
-    """
+    """The stronger image of each pair wins; the lower slot wins a tie."""
 
     def judge(groups: DataFrame) -> DataFrame:
-        rated = groups.withColumn("_s", strength)
-        top = rated.groupBy(*GROUP).agg(F.max(F.struct(F.col("_s"), -F.col("slot"))).alias("_top"))
-        joined = rated.join(top, GROUP)
-        won = F.struct(F.col("_s"), -F.col("slot")) == F.col("_top")
-        return with_tokens(joined.withColumn("kept", F.when(won, 1).otherwise(0)).drop("_s", "_top"))
+        # A pair is two rows, so the window is small and the check of winners reuses its shuffle.
+        rank = F.row_number().over(Window.partitionBy(*GROUP).orderBy(strength.desc(), "slot"))
+        return with_tokens(groups.withColumn("kept", F.when(rank == 1, 1).otherwise(0)))
 
     return judge
 
@@ -87,7 +83,7 @@ def model_judge(
 
     def judge(groups: DataFrame) -> DataFrame:
         # A group is at most the size of one grid.
-        packed = groups.groupBy(*GROUP).agg(F.collect_list(F.struct("slot", *columns)).alias("rows"))
+        packed = groups.filter(F.col("grp").isNotNull()).groupBy(*GROUP).agg(F.collect_list(F.struct("slot", *columns)).alias("rows"))
         found = packed.mapInPandas(decide, schema)
         if decision == "kept":
             found = found.drop_duplicates([*GROUP, "slot"])

@@ -11,13 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.operators.assignment import assign_batches, assign_groups
 from skysift.operators.ordering import positions
 from skysift.operators.tallies import IntegrityError, require_integrity, rounds_survived, valid_grades
-from skysift.plans.judges import Judge, with_tokens
+from skysift.plans.judges import GROUP, Judge, with_tokens
 from skysift.session import TableStore
 
 # Settings of the usual protocols.
@@ -112,12 +112,14 @@ def _play(
         groups = assign_groups(pool, size, F.col("seed"), round_no, leftover=leftover).withColumn(
             "round", F.lit(round_no)
         )
-        judged = with_tokens(judge(groups.filter(F.col("grp").isNotNull()))).withColumn("bye", F.lit(0))
-        byes = with_tokens(groups.filter(F.col("grp").isNull()).withColumn("kept", F.lit(1))).withColumn("bye", F.lit(1))
-        cols = [*pool.columns, "idx", "grp", "slot", "kept", "input_tokens", "output_tokens", "bye"]
-        both = judged.select(*cols).unionByName(byes.select(*cols))
-        return both.withColumn("failed", F.when(F.col("kept").isNull(), 1).otherwise(0)).withColumn(
-            "kept", F.coalesce(F.col("kept").cast("int"), failed)
+        judged = with_tokens(judge(groups))
+        bye = F.col("grp").isNull()
+        cols = [*pool.columns, "idx", "grp", "slot", "input_tokens", "output_tokens"]
+        return judged.select(
+            *cols,
+            F.when(bye, 1).otherwise(F.coalesce(F.col("kept").cast("int"), failed)).alias("kept"),
+            F.when(bye, 1).otherwise(0).alias("bye"),
+            F.when(~bye & F.col("kept").isNull(), 1).otherwise(0).alias("failed"),
         )
 
     table = store.write_once(name, make)
@@ -281,9 +283,9 @@ def _one_winner(judge: Judge) -> Judge:
 
     def checked(groups: DataFrame) -> DataFrame:
         judged = with_tokens(judge(groups))
-        wins = judged.groupBy("run", "round", "grp").agg(F.sum(F.coalesce(F.col("kept").cast("int"), F.lit(0))).alias("_w"))
-        joined = judged.join(wins, ["run", "round", "grp"])
-        return joined.withColumn("kept", F.when(F.col("_w") == 1, F.coalesce("kept", F.lit(0)))).drop("_w")
+        kept = F.coalesce(F.col("kept").cast("int"), F.lit(0))
+        wins = F.sum(kept).over(Window.partitionBy(*GROUP))
+        return judged.withColumn("kept", F.when(wins == 1, kept))
 
     return checked
 

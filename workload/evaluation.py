@@ -139,13 +139,13 @@ def run_table(spark, sf, n: int = 5):
 
 
 @register("cost_per_run", with_views(
-    "SELECT run, provider, format, n_images, round(cost, 6) AS cost, round(cost_per_1k, 6) AS cost_per_1k FROM runs",
+    "SELECT run, provider, format, n_images, round(cost, 9) AS cost, round(cost_per_1k, 9) AS cost_per_1k FROM runs",
     "v_scores", "v_tokens", more=RUNS))
 def cost_per_run(spark, sf):
     scores = views.scores(spark, sf)
     runs = scores.groupBy("run", "provider", "format").agg(F.count("*").alias("n_images"))
     costed = replicates.with_cost(runs.join(views.run_tokens(spark, sf), "run"))
-    return r6(costed.select("run", "provider", "format", "n_images", "cost", "cost_per_1k"))
+    return r6(costed.select("run", "provider", "format", "n_images", "cost", "cost_per_1k"), digits=9)
 
 
 METRICS = ["f1", "precision", "recall", "pr_auc", "cost", "cost_per_1k", "threshold", "recall_at_n"]
@@ -153,22 +153,22 @@ METRICS = ["f1", "precision", "recall", "pr_auc", "cost", "cost_per_1k", "thresh
 
 @register("replicate_leaderboard", with_views(
     "SELECT provider, format, count(*) AS n_reps, " + ", ".join(
-        f"round(avg({m}), 6) AS {m}_mean, round(coalesce(stddev_samp({m}), 0), 6) AS {m}_std" for m in METRICS)
+        f"round(avg({m}), 9) AS {m}_mean, round(coalesce(stddev_samp({m}), 0), 9) AS {m}_std" for m in METRICS)
     + " FROM runs GROUP BY provider, format", "v_scores", "v_tokens", more=RUNS))
 def replicate_leaderboard(spark, sf):
     stats = replicates.replicate_stats(run_table(spark, sf), ["provider", "format"], METRICS)
-    return replicates.leaderboard(r6(stats), "f1_mean", ["provider", "format"])
+    return replicates.leaderboard(r6(stats, digits=9), "f1_mean", ["provider", "format"])
 
 
 @register("provider_summary", with_views(
-    """SELECT provider, count(*) AS runs, round(avg(f1), 6) AS avg_f1, round(avg(pr_auc), 6) AS avg_auc,
-    round(avg(recall_at_n), 6) AS avg_recall_at_n, round(sum(cost), 6) AS total_cost,
-    round(max(f1), 6) AS best_f1, first(format ORDER BY f1 DESC, run) AS best_config,
-    round(max(recall_at_n), 6) AS best_recall_at_n, first(format ORDER BY recall_at_n DESC, run) AS best_recall_config,
-    round(min(cost_per_1k), 6) AS cheapest_cost_per_1k, first(format ORDER BY cost_per_1k, run) AS cheapest_config
+    """SELECT provider, count(*) AS runs, round(avg(f1), 9) AS avg_f1, round(avg(pr_auc), 9) AS avg_auc,
+    round(avg(recall_at_n), 9) AS avg_recall_at_n, round(sum(cost), 9) AS total_cost,
+    round(max(f1), 9) AS best_f1, first(format ORDER BY f1 DESC, run) AS best_config,
+    round(max(recall_at_n), 9) AS best_recall_at_n, first(format ORDER BY recall_at_n DESC, run) AS best_recall_config,
+    round(min(cost_per_1k), 9) AS cheapest_cost_per_1k, first(format ORDER BY cost_per_1k, run) AS cheapest_config
     FROM runs GROUP BY provider""", "v_scores", "v_tokens", more=RUNS))
 def provider_summary(spark, sf):
-    return r6(replicates.provider_summary(run_table(spark, sf)))
+    return r6(replicates.provider_summary(run_table(spark, sf)), digits=9)
 
 
 @register("pr_grid_mean", with_views(

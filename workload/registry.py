@@ -25,7 +25,11 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def r6(df: DataFrame, *columns: str) -> DataFrame:
-    """Doubles rounded to six digits: all of them, or the named columns."""
+def r6(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    """Doubles rounded to six digits: all of them, or the named columns.
+
+    Costs are whole multiples of a fraction of 1e-6, so they need more digits to
+    keep clear of rounding ties.
+    """
     wanted = columns or [c for c, t in df.dtypes if t == "double"]
-    return df.withColumns({c: F.round(c, 6) for c in wanted})
+    return df.withColumns({c: F.round(c, digits) for c in wanted})
