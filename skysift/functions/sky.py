@@ -46,27 +46,28 @@ def cell(ra: Column, z: Column, height: float) -> Column:
     return F.least(F.floor(turn * n).cast("bigint"), n - 1)
 
 
-def cover(ra: Column, dec: Column, radius_arcsec: float, height: float) -> Column:
-    """Array of (zone, cell) that a circle around the position can reach.
+def _reach(radius_arcsec: float) -> float:
+    """The radius in degrees, slightly too large, so that rounding never loses a cell."""
+    return radius_arcsec / ARCSEC * (1 + 1e-6) + 1e-9
 
-    The circle is taken slightly too large, so that rounding never loses a cell.
-    """
-    r = radius_arcsec / ARCSEC * (1 + 1e-6) + 1e-9
-    north, south = F.least(dec + r, F.lit(90.0)), F.greatest(dec - r, F.lit(-90.0))
+
+def zones_around(dec: Column, radius_arcsec: float, height: float) -> Column:
+    """Array of the zones a circle around the declination can reach."""
+    r = _reach(radius_arcsec)
+    south, north = F.greatest(dec - r, F.lit(-90.0)), F.least(dec + r, F.lit(90.0))
+    return F.sequence(zone(south, height), zone(north, height))
+
+
+def cells_around(ra: Column, dec: Column, z: Column, radius_arcsec: float, height: float) -> Column:
+    """Array of running cell numbers of zone z the circle can reach, to be taken modulo the zone's cells."""
+    r = _reach(radius_arcsec)
     # Half width in right ascension; a circle that holds a pole reaches all around.
-    reach = F.sin(F.radians(F.lit(r))) / F.cos(F.radians(dec))
-    half = F.when((F.abs(dec) + r >= 90) | (reach >= 1), F.lit(180.0)).otherwise(
-        F.degrees(F.asin(F.least(reach, F.lit(1.0)))) + 1e-9
+    spread = F.sin(F.radians(F.lit(r))) / F.cos(F.radians(dec))
+    half = F.when((F.abs(dec) + r >= 90) | (spread >= 1), F.lit(180.0)).otherwise(
+        F.degrees(F.asin(F.least(spread, F.lit(1.0)))) + 1e-9
     )
-
-    def cells_of(z: Column) -> Column:
-        n = zone_cells(z, height)
-        first = F.floor((ra - half) / 360 * n).cast("bigint")
-        last = F.floor((ra + half) / 360 * n).cast("bigint")
-        # A turn or more is every cell once.
-        last = F.least(last, first + n - 1)
-        return F.transform(
-            F.sequence(first, last), lambda c: F.struct(z.alias("zone"), F.pmod(c, n).alias("cell"))
-        )
-
-    return F.flatten(F.transform(F.sequence(zone(south, height), zone(north, height)), cells_of))
+    n = zone_cells(z, height)
+    first = F.floor((ra - half) / 360 * n).cast("bigint")
+    last = F.floor((ra + half) / 360 * n).cast("bigint")
+    # A turn or more is every cell once.
+    return F.sequence(first, F.least(last, first + n - 1))

@@ -137,24 +137,31 @@ def designations(c: Column | str) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(DESIGNATION), F.lit(0))
 
 
-def designation_variants(d: Column) -> Column:
-    """A designation cut to every precision down to its whole digits, lower-case, no periods."""
-    ra, sign, dec = (F.regexp_extract(d, DESIGNATION, i) for i in (1, 2, 3))
-    ra_digits, dec_digits = F.replace(ra, F.lit("."), F.lit("")), F.replace(dec, F.lit("."), F.lit(""))
-    ra_cuts = F.sequence(F.length(F.substring_index(ra, ".", 1)), F.length(ra_digits))
-    dec_cuts = F.sequence(F.length(F.substring_index(dec, ".", 1)), F.length(dec_digits))
-
-    def cut(digits: Column, n: Column) -> Column:
-        return F.substring(digits, F.lit(1), n)
-
-    return F.flatten(
-        F.transform(
-            ra_cuts,
-            lambda i: F.transform(
-                dec_cuts, lambda j: F.concat(F.lit("j"), cut(ra_digits, i), sign, cut(dec_digits, j))
-            ),
+def designation_variants(found: Column) -> Column:
+    """Designations cut to every precision down to their whole digits, lower-case, no periods."""
+
+    def parts(d: Column) -> Column:
+        ra, sign, dec = (F.regexp_extract(d, DESIGNATION, i) for i in (1, 2, 3))
+        return F.struct(
+            F.replace(ra, F.lit("."), F.lit("")).alias("ra"), F.length(F.substring_index(ra, ".", 1)).alias("ra_min"),
+            F.replace(dec, F.lit("."), F.lit("")).alias("dec"), F.length(F.substring_index(dec, ".", 1)).alias("dec_min"),
+            sign.alias("sign"),
         )
-    )
+
+    def cuts(p: Column, digits: str) -> Column:
+        """The first n digits for every n from the whole digits up."""
+        places = F.sequence(p[f"{digits}_min"], F.length(p[digits]))
+        return F.transform(places, lambda n: F.substring(p[digits], F.lit(1), n))
+
+    def variants(p: Column) -> Column:
+        return F.flatten(
+            F.transform(
+                cuts(p, "ra"),
+                lambda ra: F.transform(cuts(p, "dec"), lambda dec: F.concat(F.lit("j"), ra, p["sign"], dec)),
+            )
+        )
+
+    return F.flatten(F.transform(F.transform(found, parts), variants))
 
 
 def search_keys(alias: Column | str, normalized_name: Column | str | None = None) -> Column:
@@ -169,7 +176,7 @@ def search_keys(alias: Column | str, normalized_name: Column | str | None = None
     whole = F.when(
         (F.length(name) >= 4) & ~name.rlike(f"^(?:{DESIGNATION})$"), F.array(norm)
     ).otherwise(F.array().cast("array<string>"))
-    coords = F.flatten(F.transform(designations(alias), designation_variants))
+    coords = designation_variants(designations(alias))
     return F.filter(F.array_distinct(F.concat(coords, whole)), lambda k: F.length(k) >= 6)
 
 

@@ -108,22 +108,28 @@ def select_papers(papers: DataFrame, hits: DataFrame, cap: int = PAPERS_CAP) ->
     """Name hits, then the oldest and newest of the rest up to the cap.
 
     Gives part hit / rest and place, the order papers are shown in. Hits are
-    never cut. Each task keeps at most cap/2 candidates per object and end.
+    never cut. Each task keeps at most cap/2 candidates per object and end. `seq`
+    is a number.
     """
     flagged = papers.join(hits.withColumn("_hit", F.lit(True)), ["object_name", "bibcode"], "left")
     flagged = flagged.withColumn("_year", text.year_number("year"))
     hit_rows = flagged.filter(F.col("_hit")).drop("_hit")
     rest = flagged.filter(F.col("_hit").isNull()).drop("_hit")
-    n_hits = hit_rows.groupBy("object_name").agg(F.count("*").alias("_h"))
-    n_rest = rest.groupBy("object_name").agg(F.count("*").alias("_r"))
-    near = (cap + 1) // 2
-    old = top_in(rest, ["object_name"], [F.col("_year"), F.col("seq")], near, "_old")
-    new = top_in(rest, ["object_name"], [F.col("_year").desc(), F.col("seq").desc()], near, "_new")
-    ends = stacked([old, new]).groupBy(*[c for c in rest.columns]).agg(
-        F.min("_old").alias("_old"), F.min("_new").alias("_new")
+    sizes = flagged.groupBy("object_name").agg(
+        F.count("_hit").alias("_h"), (F.count("*") - F.count("_hit")).alias("_r")
     )
-    sized = ends.join(n_hits, "object_name", "left").join(n_rest, "object_name")
-    slots = F.greatest(F.lit(cap) - F.coalesce("_h", F.lit(0)), F.lit(0))
+    # Each row of the rest stands once at either end of the years; a task keeps the first few of each.
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("_year").alias("y"), F.col("seq").alias("s")),
+        F.struct(F.lit(1).alias("side"), (-F.col("_year")).alias("y"), (-F.col("seq")).alias("s")),
+    )
+    ends = top_in(rest.withColumn("_e", F.explode(sides)), ["object_name", "_e.side"],
+                  [F.col("_e.y"), F.col("_e.s")], (cap + 1) // 2, "_rank")
+    place = {name: F.min(F.when(F.col("_e.side") == side, F.col("_rank"))).alias(name)
+             for side, name in enumerate(("_old", "_new"))}
+    ends = ends.groupBy(*rest.columns).agg(*place.values())
+    sized = ends.join(sizes, "object_name")
+    slots = F.greatest(F.lit(cap) - F.col("_h"), F.lit(0))
     half = F.floor(slots / 2)
     kept = sized.filter((F.col("_old") <= half) | (F.col("_new") <= slots - half))
     # Rest that fits whole keeps its order, cut rest runs from old to new.

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from skysift.operators.ordering import exact_quantiles
 
@@ -49,16 +50,21 @@ class LinearModel:
     medians: list[float]
     upper: float
 
-    def predict(self) -> Column:
-        """Prediction clipped to the scale of the target."""
+    def predict(self, df: DataFrame) -> Column:
+        """Prediction for rows of `df`, clipped to the scale of the target."""
         total = F.lit(self.intercept)
         for name, beta, median in zip(self.features, self.coefficients, self.medians):
-            total = total + F.coalesce(_number(name), F.lit(median)) * F.lit(beta)
+            total = total + F.coalesce(_number(df, name), F.lit(median)) * F.lit(beta)
         return F.least(F.greatest(total, F.lit(0.0)), F.lit(self.upper))
 
 
-def _number(name: str) -> Column:
-    value = F.col(f"`{name}`").cast("string").try_cast("double")
+def _number(df: DataFrame, name: str) -> Column:
+    """A column as a number, null where its text is none."""
+    value = F.col(f"`{name}`")
+    if isinstance(df.schema[name].dataType, NumericType):
+        value = value.cast("double")
+    else:
+        value = F.trim(value.cast("string")).try_cast("double")
     return F.when(~F.isnan(value), value)
 
 
@@ -71,7 +77,7 @@ def fit_linear(train: DataFrame, features: list[str], target: str) -> LinearMode
     if require:
         raise ValueError(f"training data lacks columns: {', '.join(sorted(require))}")
     names = [f"x{i}" for i in range(len(features))]
-    rows = train.select(*[_number(f).alias(n) for f, n in zip(features, names)], _number(target).alias("y"))
+    rows = train.select(*[_number(train, f).alias(n) for f, n in zip(features, names)], _number(train, target).alias("y"))
     rows = rows.filter(F.col("y").isNotNull())
     # The mean of each column, first, so that products are summed around it.
     means_row = rows.agg(F.count("*").alias("n"), F.max("y").alias("top"), *[F.avg(c).alias(c) for c in [*names, "y"]]).first()
@@ -109,7 +115,7 @@ def fit_predict(train: DataFrame, target: DataFrame, features: list[str], y: str
     missing = set(features) - set(target.columns)
     if missing:
         raise ValueError(f"target data lacks columns: {', '.join(sorted(missing))}")
-    return target.withColumn(out, fit_linear(train, features, y).predict())
+    return target.withColumn(out, fit_linear(train, features, y).predict(target))
 
 
 def describe(df: DataFrame, col: str, keys: list[str] = ()) -> DataFrame:

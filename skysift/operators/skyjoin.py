@@ -28,11 +28,11 @@ def _placed(df: DataFrame, id_col: str, ra: str, dec: str, extra: Sequence[str],
 
 
 def _spread(df: DataFrame, tag: str, radius: float, height: float) -> DataFrame:
-    """One row per cell the circle around a row can reach."""
-    area = sky.cover(F.col(f"{tag}_ra"), F.col(f"{tag}_dec"), radius, height)
-    return df.withColumn("_cell", F.explode(area)).select(
-        *df.columns, F.col("_cell.zone").alias("_zone"), F.col("_cell.cell").alias("_c")
-    )
+    """One row per cell the circle around a row can reach: zones first, then cells of each zone."""
+    ra, dec, z = F.col(f"{tag}_ra"), F.col(f"{tag}_dec"), F.col("_zone")
+    zones = df.withColumn("_zone", F.explode(sky.zones_around(dec, radius, height)))
+    cells = zones.withColumn("_turn", F.explode(sky.cells_around(ra, dec, z, radius, height)))
+    return cells.withColumn("_c", F.pmod("_turn", sky.zone_cells(z, height))).drop("_turn")
 
 
 def _homed(df: DataFrame, tag: str, height: float) -> DataFrame:

@@ -413,7 +413,7 @@ def _predicted(spark, sf):
 def ols_two_features(spark, sf):
     rows = views.regression_rows(spark, sf)
     model = regression.fit_linear(rows, ["x1", "x2"], "y")
-    filled = rows.select("x1", F.coalesce("x2", F.lit(model.medians[1])).alias("x2"), F.round(model.predict(), 4).alias("expert_score"))
+    filled = rows.select("x1", F.coalesce("x2", F.lit(model.medians[1])).alias("x2"), F.round(model.predict(rows), 4).alias("expert_score"))
     return filled.groupBy("x1", "x2", "expert_score").agg(F.count("*").alias("n"))
 
 
