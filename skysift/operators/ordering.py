@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 # Buckets of a 60-bit hash: enough that each holds a few million of 10^10 rows.
 HASH_BUCKET_BITS = 12
 
+# Buckets of equal width between the ends of a column whose quantiles are sought.
+EVEN_BUCKETS = 4096
+
 
 def hash_key(*parts: Column | str | int) -> Column:
     """60-bit number from the md5 of the parts joined by '-': a seeded, portable shuffle key."""
@@ -104,7 +107,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, wanted: dict[str,
     task; this one sorts them in buckets.
     """
     values = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    ranked = running(values, keys, score_bucket("_v"), [F.col("_v")], {"_upto": "_n"}, {"_all": "_n"})
+    ends = df.groupBy(*keys).agg(F.min(col).cast("double").alias("_min"), F.max(col).cast("double").alias("_max"))
+    # Buckets of equal width and buckets of equal ratio both follow the order, so their pair does:
+    # one splits values crowded far from 0, the other a long tail.
+    width = F.nullif(F.col("_max") - F.col("_min"), F.lit(0.0))
+    even = F.coalesce(F.floor((F.col("_v") - F.col("_min")) / width * EVEN_BUCKETS), F.lit(0)).cast("bigint")
+    placed = values.join(ends, keys)
+    ranked = running(placed, keys, F.struct(even.alias("even"), score_bucket("_v").alias("ratio")), [F.col("_v")],
+                     {"_upto": "_n"}, {"_all": "_n"})
 
     def value_at(place: Column) -> Column:
         inside = (F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto"))

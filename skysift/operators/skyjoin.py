@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions import sky
-from skysift.operators.ordering import first_in
+from skysift.operators.ordering import first_in, stacked
+from skysift.session import TableStore
 
 RADIUS_OLD, RADIUS_NEW = 10.0, 3.0  # fixed values: label radii in arc seconds
 
@@ -107,9 +108,29 @@ def best_in_cone(
     return rows.join(best, ["left_ra", "left_dec"]).select("left_id", "right_id", "sep", *keep)
 
 
-def sky_nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, **names) -> DataFrame:
-    """Nearest right row of each left row within the radius; the smallest id wins a tie."""
-    return best_in_cone(left, right, radius_arcsec, [F.col("sep"), F.col("right_id")], **names)
+def sky_nearest(
+    left: DataFrame, right: DataFrame, radius_arcsec: float, *, finer: int = 0, store: TableStore | None = None, **names
+) -> DataFrame:
+    """Nearest right row of each left row within the radius; the smallest id wins a tie.
+
+    `finer` is for fields so dense that many distinct positions share a cell: the
+    search first runs with that many smaller radii, each a quarter of the next.
+    A row that has a neighbour within a smaller radius has its nearest one there,
+    so a crowd is settled in small cells and only the rest goes on.
+    """
+    order = [F.col("sep"), F.col("right_id")]
+    if not finer:
+        return best_in_cone(left, right, radius_arcsec, order, **names)
+    store = store or TableStore(left.sparkSession)
+    id_col = names.get("left_id", "id")
+    found, todo = [], left
+    for level in range(finer, -1, -1):
+        hits = best_in_cone(todo, right, radius_arcsec / 4**level, order, **names)
+        found.append(store.write(hits, f"radius{level}"))
+        if level:
+            done = found[-1].select(F.col("left_id").alias(id_col))
+            todo = store.write(todo.join(done, id_col, "left_anti"), f"todo{level}")
+    return stacked(found)
 
 
 def label_by_truth(

@@ -81,3 +81,8 @@ class TableStore:
         """The table of this name, made and written only if it is not there yet."""
         found = self.read(name)
         return self.write(make(), name) if found is None else found
+
+    def drop(self) -> None:
+        """Delete all tables of this store; results that read them must be saved first."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
