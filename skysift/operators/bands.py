@@ -151,15 +151,15 @@ def _sorted_auc(bands: DataFrame, keys: list[str], reach: float | None) -> DataF
         F.min(precision).alias("low"), F.max(precision).alias("high"),
         F.max("tp").alias("gain"), F.max("p_all").alias("p_all"), F.max("score").alias("_top"),
     )
-    steps = levels.filter(F.col("gain") > 0).withColumn("_from", F.col("tp_ge") - F.col("gain"))
+    steps = levels.withColumn("_from", F.col("tp_ge") - F.col("gain"))
     start = levels.select(*keys, F.col("tp_ge").alias("_from"), F.col("high").alias("_high"))
     joined = steps.join(start, [*keys, "_from"], "left")
     # Without a band of its own, level 0 is the empty point.
     empty = F.lit(0.0) if reach is None else F.when(F.col("_top") < reach, 0.0)
     area = share(F.col("gain"), F.col("p_all")) * (F.coalesce("_high", empty) + F.col("low")) / 2
-    found = joined.groupBy(*keys).agg(F.sum(area).alias("_area"))
-    every = bands.select(*keys).distinct()
-    return every.join(found, keys, "left").select(*keys, F.coalesce("_area", F.lit(0.0)).alias("pr_auc"))
+    # Level 0 itself gains nothing; it keeps keys without positives in the result.
+    gained = F.when(F.col("gain") > 0, F.coalesce(area, F.lit(0.0))).otherwise(0.0)
+    return joined.groupBy(*keys).agg(F.sum(gained).alias("pr_auc"))
 
 
 def _recall_place(n: int) -> tuple[Column, Column]:

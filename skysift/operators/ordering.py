@@ -54,7 +54,11 @@ def running(
     """
     totals = totals or {}
     wanted = sorted({*sums.values(), *totals.values()})
+    # The join below asks for keys that are not null. Asked for here, the filter is the same on
+    # both sides of it, so that both read one and the same shuffle of df.
     tagged = df.withColumn("_bucket", bucket)
+    for k in [*keys, "_bucket"]:
+        tagged = tagged.filter(F.col(k).isNotNull())
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
     sizes = tagged.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in wanted])
@@ -107,7 +111,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, wanted: dict[str,
     task; this one sorts them in buckets.
     """
     values = df.filter(F.col(col).isNotNull()).groupBy(*keys, F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
-    ends = df.groupBy(*keys).agg(F.min(col).cast("double").alias("_min"), F.max(col).cast("double").alias("_max"))
+    ends = values.groupBy(*keys).agg(F.min("_v").cast("double").alias("_min"), F.max("_v").cast("double").alias("_max"))
     # Buckets of equal width and buckets of equal ratio both follow the order, so their pair does:
     # one splits values crowded far from 0, the other a long tail.
     width = F.nullif(F.col("_max") - F.col("_min"), F.lit(0.0))

@@ -112,14 +112,15 @@ def mean_pr_curve(points: DataFrame, groups: list[str], run: str, step: int = 50
     return joined.select(*groups, (F.col("_g") / step).alias("recall"), mean.alias("precision"))
 
 
-def histogram_over_replicates(hist: DataFrame, groups: list[str], run: str, runs: DataFrame | None = None) -> DataFrame:
+def histogram_over_replicates(hist: DataFrame, groups: list[str], run: str) -> DataFrame:
     """Mean and deviation of counts per bin over replicates; a bin a replicate lacks counts 0.
 
     Missing bins are added in the formulas from the number of replicates, not as rows.
     """
-    reps = (hist if runs is None else runs).select(*groups, run).distinct()
-    reps = reps.groupBy(*groups).agg(F.count("*").alias("_r"))
     full = hist.withColumn("total", F.col("interesting") + F.col("boring"))
+    # Replicates are counted from the same columns as the sums below, so both read one shuffle.
+    reps = full.groupBy(*groups, run).agg(F.sum("total").alias("_t")).filter(F.col("_t") > 0)
+    reps = reps.groupBy(*groups).agg(F.count("*").alias("_r"))
     names = ["interesting", "boring", "total"]
     whole = {c: F.col(c).cast("decimal(19,0)") for c in names}
     sums = full.groupBy(*groups, "bin").agg(

@@ -77,35 +77,39 @@ def best_in_cone(
     left: DataFrame,
     right: DataFrame,
     radius_arcsec: float,
-    order: list[Column],
+    order: list[Column] | None = None,
     *,
     left_id: str = "id",
     right_id: str = "id",
     left_pos: tuple[str, str] = ("ra", "dec"),
     right_pos: tuple[str, str] = ("ra", "dec"),
     keep: Sequence[str] = (),
+    left_keep: Sequence[str] = (),
     spread: str = "left",
 ) -> DataFrame:
-    """First right row in `order` within the radius of each left row.
+    """First right row in `order` within the radius of each left row, the nearest by default.
 
-    Gives left_id, right_id, sep and right's `keep` columns; `order` may use all
-    of these but left_id. Rows at one position cannot differ in distance, so each
-    position is joined once on both sides and a place that holds a large share of
-    all rows costs one row.
+    Gives left_id, right_id, sep and the kept columns of both sides; `order` may
+    use sep, right_id and `keep`. Right rows at one position cannot differ in
+    distance, so only the first of them is joined and a place that holds a large
+    share of the right side costs one row. Left copies of a place only meet those
+    few rows, and each task keeps one candidate per left row before it shuffles.
     """
     height = sky.zone_height(radius_arcsec)
-    rows = _placed(left, left_id, *left_pos, [], "left")
-    a = rows.select("left_ra", "left_dec").distinct()
+    a = _placed(left, left_id, *left_pos, left_keep, "left")
     b = _placed(right, right_id, *right_pos, keep, "right")
-    b = first_in(b.withColumn("sep", F.lit(0.0)), ["right_ra", "right_dec"], order).drop("sep")
+    if order is None and not keep:
+        b = b.groupBy("right_ra", "right_dec").agg(F.min("right_id").alias("right_id"))
+    order = order or [F.col("sep"), F.col("right_id")]
+    if b.columns[0] == "right_id":
+        b = first_in(b.withColumn("sep", F.lit(0.0)), ["right_ra", "right_dec"], order).drop("sep")
     if spread == "left":
         a, b = _spread(a, "left", radius_arcsec, height), _homed(b, "right", height)
     else:
         a, b = _homed(a, "left", height), _spread(b, "right", radius_arcsec, height)
     near = (a["_zone"] == b["_zone"]) & (a["_c"] == b["_c"]) & (_separation() <= radius_arcsec)
-    pairs = a.join(b, near).select("left_ra", "left_dec", "right_id", _separation().alias("sep"), *keep)
-    best = first_in(pairs, ["left_ra", "left_dec"], order)
-    return rows.join(best, ["left_ra", "left_dec"]).select("left_id", "right_id", "sep", *keep)
+    pairs = a.join(b, near).select("left_id", "right_id", _separation().alias("sep"), *keep, *left_keep)
+    return first_in(pairs, ["left_id"], order)
 
 
 def sky_nearest(
@@ -118,14 +122,13 @@ def sky_nearest(
     A row that has a neighbour within a smaller radius has its nearest one there,
     so a crowd is settled in small cells and only the rest goes on.
     """
-    order = [F.col("sep"), F.col("right_id")]
     if not finer:
-        return best_in_cone(left, right, radius_arcsec, order, **names)
+        return best_in_cone(left, right, radius_arcsec, **names)
     store = store or TableStore(left.sparkSession)
     id_col = names.get("left_id", "id")
     found, todo = [], left
     for level in range(finer, -1, -1):
-        hits = best_in_cone(todo, right, radius_arcsec / 4**level, order, **names)
+        hits = best_in_cone(todo, right, radius_arcsec / 4**level, **names)
         found.append(store.write(hits, f"radius{level}"))
         if level:
             done = found[-1].select(F.col("left_id").alias(id_col))
@@ -141,10 +144,9 @@ def label_by_truth(
     Several entries on one image: the last one in truth order names the class.
     Truth needs ordinal, ra, dec, class.
     """
-    hits = sky_nearest(truth, images, radius_arcsec, left_id=ordinal, right_id=id_col)
-    named = hits.join(truth.select(F.col(ordinal).alias("left_id"), F.trim("class").alias("classification")), "left_id")
+    named = sky_nearest(truth, images, radius_arcsec, left_id=ordinal, right_id=id_col, left_keep=["class"])
     last = first_in(named, ["right_id"], [F.col("left_id").desc()])
-    return last.select(F.col("right_id").alias(id_col), "classification")
+    return last.select(F.col("right_id").alias(id_col), F.trim("class").alias("classification"))
 
 
 def labeled_records(images: DataFrame, labels: DataFrame, *, id_col: str = "id") -> DataFrame:
@@ -171,10 +173,9 @@ def relabel(
     Results need id, ra, dec, interesting, classification. The audit counts the
     old labels, those the old radius does not give again, those kept and demoted.
     """
-    hits = sky_nearest(truth, results, old_radius, left_id=ordinal, right_id=id_col)
-    named = hits.join(truth.select(F.col(ordinal).alias("left_id"), F.trim("class").alias("_class")), "left_id")
+    named = sky_nearest(truth, results, old_radius, left_id=ordinal, right_id=id_col, left_keep=["class"])
     best = first_in(named, ["right_id"], [F.col("sep"), F.col("left_id")]).select(
-        F.col("right_id").alias(id_col), F.col("sep").alias("_sep"), "_class"
+        F.col("right_id").alias(id_col), F.col("sep").alias("_sep"), F.trim("class").alias("_class")
     )
     joined = results.withColumnRenamed("interesting", "_was").join(best, id_col, "left")
     inside = F.col("_sep").isNotNull() & (F.col("_sep") <= new_radius)
@@ -195,11 +196,10 @@ def nearest_mention(
     images: DataFrame, mentions: DataFrame, lookup: DataFrame, radius_arcsec: float = RADIUS_NEW, *, id_col: str = "id"
 ) -> DataFrame:
     """Nearest resolved mention of each image with its name, link and summary."""
-    seen = mentions.select("mention_id", F.col("resolved_ra_deg").alias("ra"), F.col("resolved_dec_deg").alias("dec"),
-                           "resolved_name", "ned_object_name")
-    near = sky_nearest(images, seen, radius_arcsec, left_id=id_col, right_id="mention_id", spread="right")
-    named = near.join(first_in(seen, ["mention_id"], [F.col("ra"), F.col("dec")]),
-                      near["right_id"] == F.col("mention_id"))
+    named = best_in_cone(
+        images, mentions, radius_arcsec, left_id=id_col, right_id="mention_id",
+        right_pos=("resolved_ra_deg", "resolved_dec_deg"), keep=["resolved_name", "ned_object_name"], spread="right",
+    ).withColumnRenamed("right_id", "mention_id")
     name = F.coalesce(
         F.when(F.col("resolved_name") != "", F.col("resolved_name")),
         F.when(F.col("ned_object_name") != "", F.col("ned_object_name")),

@@ -56,6 +56,11 @@ def expert_positive(threshold: float = 0.4, strict: bool = False) -> Column:
     return at_least("expert_score", threshold, strict)
 
 
+def format_in(*formats: str) -> Column:
+    """Runs of chosen test formats."""
+    return F.col("format").isin(*formats)
+
+
 def exclude(rows: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Rows that are not among the few-shot examples."""
     return rows.join(names.select(key), key, "left_anti")

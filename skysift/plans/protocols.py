@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skysift.operators.assignment import assign_batches, assign_groups
+from skysift.operators.assignment import assign_batches, assign_groups, fixed_slice, stratified_subset, with_runs
 from skysift.operators.ordering import positions
 from skysift.operators.tallies import IntegrityError, require_integrity, rounds_survived, valid_grades
 from skysift.plans.judges import GROUP, Judge, with_tokens
@@ -27,6 +27,24 @@ WEAK_REMOVED, WEAK_ROUNDS = 20, 2
 TARGET_LEFT = 100
 
 
+# The published settings, by data set. Keys are arguments of the protocol named.
+PRESETS = {
+    "pilot_likert": {"protocol": "rating_grid", "side": 4, "views": 10, "seeds": [44, 45, 46], "budget": 20_000},
+    "pilot_tournament": {"protocol": "retention", "size": 4, "rounds": 10, "seeds": [44, 45, 46], "budget": 20_000},
+    "pilot_elimination": {"protocol": "elimination", "seeds": [44, 45, 46], "budget": 20_000},
+    "pilot_hybrid": {"protocol": "hybrid", "size": 4, "side": 4, "views": 10, "seeds": [44, 45, 46], "budget": 20_000},
+    "volunteer_selection": {"protocol": "rating_grid", "side": 3, "views": 10, "score": "count", "seeds": [42], "slice": 1000},
+    "volunteer_grid": {"protocol": "rating_grid", "side": 3, "views": 10, "seeds": [42], "slice": 1000},
+    "volunteer_large_grid": {"protocol": "rating_grid", "side": 4, "views": 10, "seeds": [42], "slice": 1000},
+    "volunteer_elimination": {"protocol": "elimination", "power_of_two": True, "seeds": [42], "slice": 1024},
+    "volunteer_filter": {"protocol": "retention", "size": 2, "min_removed": 20, "rounds": 2, "score": "final", "seeds": [42], "slice": 1000},
+    "expert_grid": {"protocol": "rating_grid", "side": 4, "views": 10, "seeds": [42, 42, 42]},
+    "expert_tournament": {"protocol": "retention", "size": 2, "rounds": 10, "seeds": [42, 42, 42]},
+    "expert_elimination": {"protocol": "elimination", "seeds": [42, 42, 42]},
+    "regression_filter": {"protocol": "retention", "size": 4, "target": 100, "leftover": "ragged", "score": "final", "seeds": [42]},
+}
+
+
 class ProtocolError(RuntimeError):
     """A protocol cannot go on or does not reach its aim."""
 
@@ -370,3 +388,24 @@ def assemble(
     if meta is not None:
         out = out.join(meta, key, "left")
     return out.orderBy(F.col("imagescore").desc(), key) if order else out
+
+
+def run_preset(name: str, items: DataFrame, judge: Judge, judge2: Judge | None = None, **changes):
+    """A published setting on items with id (and interesting, where a budget applies)."""
+    p = {**PRESETS[name], **changes}
+    kind, seeds = p.pop("protocol"), p.pop("seeds")
+    n, budget = p.pop("slice", None), p.pop("budget", None)
+    if n is not None:
+        items = fixed_slice(items, n)
+    if budget is not None:
+        items = stratified_subset(items, budget, seeds)
+    else:
+        items = with_runs(items, seeds)
+    if kind == "retention":
+        stop = Stop(rounds=p.pop("rounds", None), min_removed=p.pop("min_removed", None), target=p.pop("target", None))
+        return retention(items, judge, stop=stop, **p)
+    if kind == "elimination":
+        return elimination(items, judge, **p)
+    if kind == "hybrid":
+        return hybrid(items, judge, judge2, **p)
+    return rating_grid(items, judge, **p)

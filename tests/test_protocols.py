@@ -242,3 +242,15 @@ def test_assembly(spark):
     why = spark.createDataFrame([(1, "no"), (2, "yes")], "id long, reasoning string")
     got = protocols.assemble(scores, None, why).collect()
     assert [(r["id"], r["reasoning"]) for r in got] == [(2, "yes"), (3, ""), (1, "")]
+
+
+@pytest.mark.parametrize("name", sorted(protocols.PRESETS))
+def test_presets(spark, name):
+    items = spark.range(16).select("id", (F.col("id") < 3).cast("int").alias("interesting"))
+    changes = {"seeds": [1]} | ({"target": 12} if "target" in protocols.PRESETS[name] else {}) | ({"rounds": 1} if "rounds" in protocols.PRESETS[name] else {})
+    kind = protocols.PRESETS[name]["protocol"]
+    grade = lambda g: judges.rule_judge(F.lit(1), "score")(g)
+    judge = {"elimination": strongest, "rating_grid": grade}.get(kind, keep_low)
+    out = protocols.run_preset(name, items, judge, grade, **changes)
+    scores = out[2] if kind == "hybrid" else out.scores
+    assert scores.count() == 16 and scores.agg(F.max("imagescore")).first()[0] > 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skysift.functions import numbers, text
-from skysift.operators import agreement, bands, regression, replicates, tallies, views as report
+from skysift.operators import agreement, bands, matching, regression, replicates, tallies, views as report
 from skysift.operators.ordering import exact_quantiles
 from skysift.plans.evaluation import evaluate_runs
 from workload import views
@@ -381,6 +381,46 @@ def anomaly_scores(spark, sf):
                        numbers.volunteer_rating("value").alias("volunteer_rating"), numbers.fraction("value").alias("fraction")))
 
 
+@register("agreement_whitelist", with_views(
+    """SELECT a.image, a.score, coalesce(expert_n, 0) AS expert_n, round(coalesce(expert_score, 0), 6) AS expert_score,
+    CASE WHEN coalesce(expert_score, 0) > 0.4 THEN 1 ELSE 0 END AS expert_positive FROM v_ai a LEFT JOIN x ON a.image = x.image""",
+    "v_votes", "v_ai", more=EXPERTS))
+def agreement_whitelist(spark, sf):
+    votes = agreement.latest_votes(views.votes(spark, sf))
+    rows = agreement.agreement(views.ai_results(spark, sf), votes, how="whitelist", strict=True)
+    return r6(rows.select("image", "score", "expert_n", "expert_score", "expert_positive"))
+
+
+@register("results_with_truth", with_views(
+    "SELECT a.image, score, vote FROM v_ai a JOIN v_votes v ON a.image = v.image WHERE expert = 'click'", "v_ai", "v_votes"))
+def results_with_truth(spark, sf):
+    truth = agreement.latest_votes(views.votes(spark, sf)).filter("expert = 'click'").select("image", "vote")
+    return matching.restrict_to_truth(views.ai_results(spark, sf).select("image", "score"), truth)
+
+
+@register("examples_left_out", with_views(
+    "SELECT image FROM v_ai WHERE image NOT IN (SELECT user_id FROM events)", "v_ai"))
+def examples_left_out(spark, sf):
+    seen = views.table(spark, sf, "events").select(F.col("user_id").alias("image")).distinct()
+    return report.exclude(views.ai_results(spark, sf).select("image"), seen, "image")
+
+
+@register("all_ids", with_views("SELECT image FROM v_ai UNION SELECT image FROM v_votes", "v_ai", "v_votes"))
+def all_ids(spark, sf):
+    return report.all_ids([views.ai_results(spark, sf), views.votes(spark, sf)], "image")
+
+
+@register("first_rows", "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 1000")
+def first_rows(spark, sf):
+    return report.first_rows(views.table(spark, sf, "customer"), 1000, "c_custkey", ["c_custkey", "c_name", "c_mktsegment"])
+
+
+@register("chosen_formats", with_views(
+    "SELECT run, count(*) AS n FROM v_scores WHERE format IN ('likert', 'hybrid') GROUP BY run", "v_scores"))
+def chosen_formats(spark, sf):
+    return views.scores(spark, sf).filter(report.format_in("likert", "hybrid")).groupBy("run").agg(F.count("*").alias("n"))
+
+
 # --- regression ----------------------------------------------------------------
 
 
