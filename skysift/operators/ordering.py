@@ -56,9 +56,8 @@ def running(
     wanted = sorted({*sums.values(), *totals.values()})
     # The join below asks for keys that are not null. Asked for here, the filter is the same on
     # both sides of it, so that both read one and the same shuffle of df.
-    tagged = df.withColumn("_bucket", bucket)
-    for k in [*keys, "_bucket"]:
-        tagged = tagged.filter(F.col(k).isNotNull())
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, "_bucket"]])
+    tagged = df.withColumn("_bucket", bucket).filter(present)
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
     sizes = tagged.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in wanted])

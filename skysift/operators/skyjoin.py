@@ -7,15 +7,20 @@ position match nothing.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.functions import sky
-from skysift.operators.ordering import first_in, stacked
+from skysift.operators.ordering import first_in, stacked, top_in
 from skysift.session import TableStore
 
+# Distinct right positions in a cell from which its left rows are settled apart.
+CROWD = 64
+
 RADIUS_OLD, RADIUS_NEW = 10.0, 3.0  # fixed values: label radii in arc seconds
 
 
@@ -86,54 +91,78 @@ def best_in_cone(
     keep: Sequence[str] = (),
     left_keep: Sequence[str] = (),
     spread: str = "left",
+    crowd: int | None = CROWD,
+    store: TableStore | None = None,
 ) -> DataFrame:
     """First right row in `order` within the radius of each left row, the nearest by default.
 
     Gives left_id, right_id, sep and the kept columns of both sides; `order` may
-    use sep, right_id and `keep`. Right rows at one position cannot differ in
-    distance, so only the first of them is joined and a place that holds a large
-    share of the right side costs one row. Left copies of a place only meet those
-    few rows, and each task keeps one candidate per left row before it shuffles.
+    use right_id and `keep`. Right rows at one position cannot differ in distance,
+    so only the first of them is joined and a place that holds a large share of
+    the right side costs one row. Left copies of a place only meet those few rows,
+    and each task keeps one candidate per left row before it shuffles.
+
+    Cells with more than `crowd` distinct right positions are found first, by one
+    aggregation. Left rows that reach such a cell are settled apart, so that no
+    cell is joined with all its pairs; without such cells nothing more is run.
     """
     height = sky.zone_height(radius_arcsec)
     a = _placed(left, left_id, *left_pos, left_keep, "left")
     b = _placed(right, right_id, *right_pos, keep, "right")
-    if order is None and not keep:
-        b = b.groupBy("right_ra", "right_dec").agg(F.min("right_id").alias("right_id"))
+    outputs = ["left_id", "right_id", "sep", *keep, *left_keep]
+    nearest = order is None
     order = order or [F.col("sep"), F.col("right_id")]
-    if b.columns[0] == "right_id":
+    if nearest and not keep:
+        b = b.groupBy("right_ra", "right_dec").agg(F.min("right_id").alias("right_id"))
+    else:
         b = first_in(b.withColumn("sep", F.lit(0.0)), ["right_ra", "right_dec"], order).drop("sep")
-    if spread == "left":
-        a, b = _spread(a, "left", radius_arcsec, height), _homed(b, "right", height)
+
+    def settle(rows: DataFrame, radius: float, side: str = spread) -> DataFrame:
+        h = sky.zone_height(radius)
+        if side == "left":
+            pairs = _near_pairs(_spread(rows, "left", radius, h), _homed(b, "right", h), radius)
+        else:
+            pairs = _near_pairs(_homed(rows, "left", h), _spread(b, "right", radius, h), radius)
+        return first_in(pairs.select(*outputs), ["left_id"], order)
+
+    if crowd is None:
+        return settle(a, radius_arcsec)
+    cells = _homed(b, "right", height).groupBy("_zone", "_c").agg(F.count("*").alias("_n"))
+    crowded = cells.filter(F.col("_n") > crowd)
+    fullest = crowded.agg(F.max("_n")).first()[0]
+    if fullest is None:
+        return settle(a, radius_arcsec)
+    store = store or TableStore(left.sparkSession)
+    tag = uuid.uuid4().hex[:8]
+    reach = _spread(a, "left", radius_arcsec, height).join(crowded, ["_zone", "_c"], "left_semi").select("left_id").distinct()
+    reach = store.write(reach, f"{tag}-reach")
+    todo = store.write(a.join(reach, "left_id", "left_semi"), f"{tag}-todo")
+    found = [settle(a.join(reach, "left_id", "left_anti"), radius_arcsec)]
+    if nearest:
+        # A row with a neighbour within a smaller radius has its nearest one there, so a crowd is
+        # settled in small cells and only the rest goes on to the next radius, four times as large.
+        for level in range(math.ceil(math.log(fullest / 4, 16)), 0, -1):
+            found.append(store.write(settle(todo, radius_arcsec / 4**level), f"{tag}-radius{level}"))
+            todo = store.write(todo.join(found[-1], "left_id", "left_anti"), f"{tag}-todo{level}")
+        found.append(settle(todo, radius_arcsec))
     else:
-        a, b = _homed(a, "left", height), _spread(b, "right", radius_arcsec, height)
-    near = (a["_zone"] == b["_zone"]) & (a["_c"] == b["_c"]) & (_separation() <= radius_arcsec)
-    pairs = a.join(b, near).select("left_id", "right_id", _separation().alias("sep"), *keep, *left_keep)
-    return first_in(pairs, ["left_id"], order)
+        # The first rows of each cell in `order` come first: who meets one of them needs no other.
+        whole = _spread(b, "right", radius_arcsec, height).withColumn("sep", F.lit(0.0))
+        heads = top_in(whole, ["_zone", "_c"], order, crowd).drop("sep", "_rank")
+        pairs = _near_pairs(_homed(todo, "left", height), heads, radius_arcsec)
+        found.append(store.write(first_in(pairs.select(*outputs), ["left_id"], order), f"{tag}-heads"))
+        found.append(settle(todo.join(found[-1], "left_id", "left_anti"), radius_arcsec, "right"))
+    return stacked(found)
 
 
-def sky_nearest(
-    left: DataFrame, right: DataFrame, radius_arcsec: float, *, finer: int = 0, store: TableStore | None = None, **names
-) -> DataFrame:
-    """Nearest right row of each left row within the radius; the smallest id wins a tie.
+def _near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+    near = (a["_zone"] == b["_zone"]) & (a["_c"] == b["_c"]) & (_separation() <= radius)
+    return a.join(b, near).withColumn("sep", _separation())
 
-    `finer` is for fields so dense that many distinct positions share a cell: the
-    search first runs with that many smaller radii, each a quarter of the next.
-    A row that has a neighbour within a smaller radius has its nearest one there,
-    so a crowd is settled in small cells and only the rest goes on.
-    """
-    if not finer:
-        return best_in_cone(left, right, radius_arcsec, **names)
-    store = store or TableStore(left.sparkSession)
-    id_col = names.get("left_id", "id")
-    found, todo = [], left
-    for level in range(finer, -1, -1):
-        hits = best_in_cone(todo, right, radius_arcsec / 4**level, **names)
-        found.append(store.write(hits, f"radius{level}"))
-        if level:
-            done = found[-1].select(F.col("left_id").alias(id_col))
-            todo = store.write(todo.join(done, id_col, "left_anti"), f"todo{level}")
-    return stacked(found)
+
+def sky_nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, **names) -> DataFrame:
+    """Nearest right row of each left row within the radius; the smallest id wins a tie."""
+    return best_in_cone(left, right, radius_arcsec, **names)
 
 
 def label_by_truth(

@@ -78,7 +78,7 @@ def _matches(items: DataFrame, cat: Catalog, id_col: str) -> DataFrame:
     side = cat.df.select(F.col(cat.id_col).alias("_cat"), "ra", "dec", *filled, *ranks)
     by = [F.col(f"_o{i}").desc() if down else F.col(f"_o{i}") for i, (_, down) in enumerate(order)]
     best = best_in_cone(
-        items, side, cat.radius, [*(by or [F.col("sep")]), F.col("right_id")],
+        items, side, cat.radius, [*by, F.col("right_id")] if by else None,
         left_id=id_col, right_id="_cat", keep=side.columns[3:], spread="right",
     )
     return best.select(

@@ -61,6 +61,7 @@ class TableStore:
 
     def __init__(self, spark: SparkSession, name: str | None = None):
         self.spark = spark
+        self.named = name is not None
         self.root = f"{shared_dir(spark)}/{name or 'tables-' + uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -79,7 +80,7 @@ class TableStore:
 
     def write_once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table of this name, made and written only if it is not there yet."""
-        found = self.read(name)
+        found = self.read(name) if self.named else None
         return self.write(make(), name) if found is None else found
 
     def drop(self) -> None:

@@ -50,8 +50,9 @@ def test_cone_equals_brute_force(spark, kind, radius, spread):
 
 
 @pytest.mark.parametrize("kind", ["plain", "north"])
-@pytest.mark.parametrize("finer", [0, 3])
-def test_nearest_equals_brute_force(spark, kind, finer):
+@pytest.mark.parametrize("crowd", [None, 5, 1000])
+@pytest.mark.parametrize("spread", ["left", "right"])
+def test_nearest_equals_brute_force(spark, kind, crowd, spread):
     rng = random.Random(kind)
     a, b = field(rng, 200, kind), field(rng, 200, kind)
     a += [a[0]] * 50  # many rows at one place
@@ -61,7 +62,24 @@ def test_nearest_equals_brute_force(spark, kind, finer):
         near = min((sep(p, q), j) for j, q in enumerate(b))
         if near[0] <= 10:
             want[i] = near[1]
-    got = skyjoin.sky_nearest(frame(spark, a), frame(spark, b), 10.0, finer=finer)
+    got = skyjoin.sky_nearest(frame(spark, a), frame(spark, b), 10.0, crowd=crowd, spread=spread)
+    assert {r["left_id"]: r["right_id"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("crowd", [None, 2, 5])
+def test_best_equals_brute_force(spark, crowd):
+    rng = random.Random(8)
+    a, b = field(rng, 150, "plain"), field(rng, 300, "plain")
+    b += [b[3]] * 40
+    rank = [rng.randrange(20) for _ in b]
+    want = {}
+    for i, p in enumerate(a):
+        near = [(-rank[j], j) for j, q in enumerate(b) if sep(p, q) <= 6]
+        if near:
+            want[i] = min(near)[1]
+    right = frame(spark, b).join(spark.createDataFrame(list(enumerate(rank)), "id long, rank int"), "id")
+    order = [F.col("rank").desc(), F.col("right_id")]
+    got = skyjoin.best_in_cone(frame(spark, a), right, 6.0, order, keep=["rank"], spread="right", crowd=crowd)
     assert {r["left_id"]: r["right_id"] for r in got.collect()} == want
 
 
