@@ -7,7 +7,6 @@ position match nothing.
 
 from __future__ import annotations
 
-import math
 import uuid
 from collections.abc import Sequence
 
@@ -21,6 +20,9 @@ from skysift.session import TableStore
 # Distinct right positions in a cell from which its left rows are settled apart.
 CROWD = 64
 
+# Smaller radii tried at most; the smallest is then a millionth of the radius.
+MAX_LEVELS = 10
+
 RADIUS_OLD, RADIUS_NEW = 10.0, 3.0  # fixed values: label radii in arc seconds
 
 
@@ -141,7 +143,14 @@ def best_in_cone(
     if nearest:
         # A row with a neighbour within a smaller radius has its nearest one there, so a crowd is
         # settled in small cells and only the rest goes on to the next radius, four times as large.
-        for level in range(math.ceil(math.log(fullest / 4, 16)), 0, -1):
+        dense = _homed(b, "right", height).join(crowded, ["_zone", "_c"], "left_semi").drop("_zone", "_c")
+        dense = store.write(dense.select("right_ra", "right_dec"), f"{tag}-dense")
+        levels = 0
+        while fullest > crowd and levels < MAX_LEVELS:
+            levels += 1
+            small = _homed(dense, "right", sky.zone_height(radius_arcsec / 4**levels))
+            fullest = small.groupBy("_zone", "_c").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
+        for level in range(levels, 0, -1):
             found.append(store.write(settle(todo, radius_arcsec / 4**level), f"{tag}-radius{level}"))
             todo = store.write(todo.join(found[-1], "left_id", "left_anti"), f"{tag}-todo{level}")
         found.append(settle(todo, radius_arcsec))
