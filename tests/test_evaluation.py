@@ -301,3 +301,12 @@ def test_report_set_and_classes(spark):
     got = [(r["label"], r["mean_score"]) for r in bands.class_means(named).collect()]
     assert got == [("ring", 3.5), ("No classification", 4.0), ("Total Average", 3.75)]
     assert s.filter(views.class_is("run", None)).count() == 0 and named.filter(views.class_is("classification", None)).count() == 2
+
+
+def test_bands_read_their_input_once(spark, tmp_path):
+    scored(spark, {"a": CASES["mixed"], "b": CASES["all positives"]}).write.parquet(str(tmp_path / "s"))
+    b = bands.score_bands(spark.read.parquet(str(tmp_path / "s")), ["run"])
+    for df in (bands.recall_at(b, ["run"], 2), bands.run_summary(b, ["run"], 2)):
+        df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert final.count("Scan parquet") == 1 and "ReusedExchange" in final
