@@ -80,7 +80,8 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     for keyword, name, label, versions in FAMILIES:
         for v in versions:
             number = v.replace(" ", ".")
-            named.append((keyword, f"{name}{VERSION}{v}(?: 0)?(?: or|and) (?:any )?later(?: version)?".replace("(?: or|and)", " (?:or|and) (?:at your option )?"), f"{label}-{number}-or-later", 1))
+            later = "(?: 0)? (?:or|and) (?:at your option )?(?:any )?later(?: version)?"
+            named.append((keyword, f"{name}{VERSION}{v}{later}", f"{label}-{number}-or-later", 1))
             named.append((keyword, f"{name}{VERSION}{v}(?: only)?", f"{label}-{number}", 2))
             named.append((keyword, f"{name}v{v}", f"{label}-{number}", 2))
         named.append((keyword, f"{name}" if keyword not in ("apache", "mpl") else f"{name} licen[cs]e", label, 3))

@@ -25,7 +25,7 @@ from skysift.session import TableStore
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-LEADING = 3
+LEADING = 2
 GENERALISED_FROM = 12
 SEGMENTS = 4
 LAST = (1 << 63) - 1

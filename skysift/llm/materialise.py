@@ -118,7 +118,10 @@ def write_shards(docs: DataFrame, store: TableStore, vocabulary: str, key: int =
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_rows: int = SHARD_ROWS, from_slot: int = 0) -> DataFrame:
     """slot, shard, byte_offset, ids (bytes) of all records from a slot on; whole shards before it are not opened."""
     step = stride(length)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).filter(F.col("shard") >= from_slot // shard_rows)
+    files = spark.read.format("binaryFile").load(path)
+    if "shard" not in files.columns:  # no sequences, no shards
+        files = files.withColumn("shard", F.lit(0))
+    files = files.filter(F.col("shard") >= from_slot // shard_rows)
     rows = files.select(F.col("shard").cast("long").alias("shard"), "content",
                         F.explode(F.sequence(F.lit(0), (F.length("content") / step).cast("int") - 1)).alias("_k"))
     out = rows.select((F.col("shard") * shard_rows + F.col("_k")).alias("slot"), "shard", (F.col("_k") * step).cast("long").alias("byte_offset"),

@@ -153,8 +153,8 @@ class _Links:
     def with_components(self, df: DataFrame, node: str, out: str) -> DataFrame:
         if self.labels is None:
             return df.withColumn(out, F.col(node))
-        labels = self.labels.select(F.col("node").alias(node), F.col("component").alias("_c"))
-        return df.join(labels, node, "left").withColumn(out, F.coalesce("_c", node)).drop("_c")
+        labels = self.labels.select(F.col("node").alias(node), F.col("component").alias("_component"))
+        return df.join(labels, node, "left").withColumn(out, F.coalesce("_component", node)).drop("_component")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends are not in one component yet."""
