@@ -8,11 +8,13 @@ the equal places of the packed signatures, corrected for chance collisions;
 estimates well below the threshold are left out, the rest is confirmed on whole
 texts.
 
-No bucket emits all its pairs. Buckets of up to SMALL_BUCKET representatives are
-compared in full; a larger one compares its smallest member with all others, then
-goes on without it, for as long as it holds different components. Both miss no pair
-of a bucket that is not linked already. Confirmation takes one pair per document
-first, joins components, and looks at other pairs only where they still differ.
+No large bucket emits all its pairs. Buckets of up to SMALL_BUCKET representatives
+are compared in full; a larger one compares its smallest member with all others.
+Where it then still holds several components, members outside the leading one are
+compared with the others, and only pairs with a high estimate leave that join. No
+pair of a bucket is missed that is not linked already. Confirmation takes the
+likeliest pair of each document first, joins components, and looks at other pairs
+only where they still differ.
 
 Defined results: null, empty and wordless texts have no shingles and no links;
 a text of fewer than five words is one shingle; rows that share an id are one
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skysift.llm.arrays import LOWER, blocks, mix, span_hashes, window_hashes, word_spans
@@ -39,8 +41,8 @@ PERCENT = 75
 # 32 bands of 4: a pair at 0.75 shares none with a probability of 5e-6, a pair at 0.3 shares one in 23 of 100 cases.
 BANDS, ROWS, BITS = 32, 4, 4
 HASHES = BANDS * ROWS
-# An estimate has a standard deviation of 0.041 at 0.75; six of them below it, one pair in 1e9 would be left out.
-LEAST_ESTIMATE = 0.5
+# An estimate has a standard deviation of 0.041 at 0.75; four and a half below it, 4 of 1e6 pairs at 0.75 would be left out.
+LEAST_ESTIMATE = 0.57
 SMALL_BUCKET = 32
 
 _RNG = np.random.default_rng(20240502)
@@ -99,20 +101,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(work, "doc_id long, row_key long, n_shingles long, digest binary, bands array<long>, bits array<long>")
 
 
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(node, shingles) of rows (node, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, offs in blocks(batch.column(1)):
+                sets = [s.view(np.int64) for s in shingle_sets(buf, offs)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(work, "node long, shingles array<long>")
+
+
+def estimate(x: Column, y: Column) -> Column:
+    """Similarity by the equal places of two packed signatures, corrected for places that are equal by chance."""
+    unequal = F.lit(0)
+    for k in range(N_PACKED):
+        d = F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        unequal = unequal + F.bit_count(d)
+    chance = 0.5 ** BITS
+    return ((1 - unequal / HASHES) - chance) / (1 - chance)
+
+
 def estimated(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose corrected estimate reaches LEAST_ESTIMATE."""
+    """Pairs (a, b) whose estimate reaches LEAST_ESTIMATE, with it."""
     left = marks.select(F.col("node").alias("a"), F.col("bits").alias("_x"))
     right = marks.select(F.col("node").alias("b"), F.col("bits").alias("_y"))
-    joined = pairs.join(left, "a").join(right, "b")
-    unequal = None
-    for k in range(N_PACKED):
-        x = F.get("_x", F.lit(k)).bitwiseXOR(F.get("_y", F.lit(k)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        unequal = F.bit_count(x) if unequal is None else unequal + F.bit_count(x)
-    chance = 0.5 ** BITS
-    estimate = ((1 - unequal / HASHES) - chance) / (1 - chance)
-    return joined.filter(estimate >= LEAST_ESTIMATE).select("a", "b").distinct()
+    joined = pairs.join(left, "a").join(right, "b").withColumn("likely", estimate(F.col("_x"), F.col("_y")))
+    return joined.filter(F.col("likely") >= LEAST_ESTIMATE).groupBy("a", "b").agg(F.max("likely").alias("likely"))
 
 
 def compared(members: DataFrame) -> DataFrame:
@@ -123,6 +141,37 @@ def compared(members: DataFrame) -> DataFrame:
     return inside.union(star.select(F.col("center").alias("a"), F.col("node").alias("b")))
 
 
+def strays(links: _Links, members: DataFrame, marks: DataFrame) -> DataFrame:
+    """Likely pairs between components that meet in a large bucket.
+
+    Most members of such a bucket are linked with its centre, so one component
+    leads. The members of all buckets it leads are one group, each once; those
+    outside the component are compared with the group. A pair's intersection is at
+    most the smaller number of shingles that either shares with anyone in the groups;
+    where that bound is below the threshold, the pair, or the document, is out for
+    certain. Only likely pairs of the rest leave the join.
+    """
+    known = links.with_components(members, "node", "_c")
+    counts = known.groupBy("bucket", "_c").agg(F.count("*").alias("_n"))
+    led = counts.groupBy("bucket").agg(F.max(F.struct("_n", "_c"))["_c"].alias("leader"), F.min("_c").alias("_l"), F.max("_c").alias("_h")).filter("_l < _h")
+    group = known.join(led.select("bucket", "leader"), "bucket").select("leader", "node", "_c").distinct().join(marks.select("node", "bits"), "node")
+    group = links.store.write(group, "led")
+    sets = links.store.write(shingle_rows(links.texts.join(group.select("node").distinct(), "node", "left_semi")), "led-sets")
+    sizes = sets.groupBy("node").agg(F.min(F.size("shingles")).alias("n"))
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l < _h").select("shingle")
+    support = each.join(links.store.write(shared, "led-shared"), "shingle").groupBy("node").agg(F.count("*").alias("most")).join(sizes, "node")
+    support = support.filter(100 * F.col("most") >= PERCENT * F.col("n"))
+    group = links.store.write(group.join(support, "node"), "led-able")
+    own = group.filter("_c <> leader").select("leader", F.col("node").alias("_p"), F.col("_c").alias("_pc"), F.col("bits").alias("_x"), F.col("most").alias("_m"), F.col("n").alias("_pn"))
+    likely = estimate(F.col("_x"), F.col("bits"))
+    # With s shared at most, similarity reaches PERCENT only if (100 + PERCENT) * s >= PERCENT * (both sizes).
+    able = (100 + PERCENT) * F.least("most", "_m") >= PERCENT * (F.col("n") + F.col("_pn"))
+    met = group.join(own, (group["leader"] == own["leader"]) & (F.col("_c") != F.col("_pc")) & able & (likely >= LEAST_ESTIMATE))
+    pairs = met.select(F.least("node", "_p").alias("a"), F.greatest("node", "_p").alias("b"), likely.alias("likely"))
+    return pairs.groupBy("a", "b").agg(F.max("likely").alias("likely"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= PERCENT * union of their shingle sets."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("_ta"))
@@ -174,7 +223,7 @@ class _Links:
         pairs = self.store.write(pairs, f"pairs{self.turn}")
         if pairs.isEmpty():
             return
-        first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+        first = pairs.groupBy("b").agg(F.max(F.struct("likely", "a"))["a"].alias("a"))
         self.add(confirmed(self.store.write(first.select("a", "b"), f"first{self.turn}"), self.texts))
         self.add(confirmed(self.store.write(self.apart(pairs.join(first, ["a", "b"], "left_anti")), f"rest{self.turn}"), self.texts))
 
@@ -203,15 +252,8 @@ def near_duplicates(docs: DataFrame, store: TableStore) -> DataFrame:
     same_id = known.select("doc_id", "digest").join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
     links.add(same_id.select("a", "b").distinct())
     links.settle(pairs)
-    turn = 0
-    while not large.isEmpty():
-        turn += 1
-        # The centre was compared with all others; without it, a bucket of one component has nothing left to find.
-        rest = links.with_components(large.filter("node <> center").select("bucket", "node"), "node", "_c")
-        open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("center"), F.min("_c").alias("_l"), F.max("_c").alias("_h"))
-        members = store.write(rest.select("bucket", "node").join(open_.filter("_l < _h").select("bucket", "n", "center"), "bucket"), f"members{turn}")
-        links.settle(estimated(links.apart(compared(members).distinct()), marks))
-        large = members.filter(F.col("n") > SMALL_BUCKET)
+    if not large.isEmpty():
+        links.settle(store.write(strays(links, large.select("bucket", "node"), marks), "strays"))
 
     whole = prints.select("doc_id", "row_key", "n_shingles", "digest").join(classes, "digest", "left").withColumn("_node", F.coalesce("node", "doc_id")).drop("node", "digest")
     out = links.with_components(whole.withColumnRenamed("_node", "node"), "node", "component_id")
