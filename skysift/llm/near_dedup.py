@@ -244,9 +244,9 @@ def near_duplicates(docs: DataFrame, store: TableStore) -> DataFrame:
     pairs = store.write(estimated(pairs.union(compared(members)).distinct(), marks), "candidates")
     large = members.filter(F.col("n") > SMALL_BUCKET)
 
-    # Texts of candidates only, written once for all confirmations.
+    # Texts of candidates only, written once for all confirmations; by the same plan at every size.
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select("node")).distinct()
-    texts = store.write(docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].alias("text")).join(wanted, "node", "left_semi").distinct(), "texts")
+    texts = store.write(docs.select(docs["doc_id"].cast("long").alias("node"), docs["text"].alias("text")).join(wanted.hint("merge"), "node", "left_semi").distinct(), "texts")
     links = _Links(store, texts)
     # Rows that share an id but not their text join the classes of these texts.
     same_id = known.select("doc_id", "digest").join(classes, "digest").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b")
