@@ -20,7 +20,7 @@ EXPAND_CHUNK = 65536
 def score_bands(df: DataFrame, keys: list[str], score: str = "score", truth: str = "truth") -> DataFrame:
     """Bands with n, tp, their running totals n_ge, tp_ge from the top, and key totals n_all, p_all."""
     bands = (
-        df.filter(F.col(score).isNotNull())
+        df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
         .groupBy(*keys, F.col(score).cast("double").alias("score"))
         .agg(F.count("*").alias("n"), F.count(F.when(F.col(truth).cast("int") == 1, 1)).alias("tp"))
     )

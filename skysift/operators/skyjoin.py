@@ -27,7 +27,8 @@ RADIUS_OLD, RADIUS_NEW = 10.0, 3.0  # fixed values: label radii in arc seconds
 
 
 def _placed(df: DataFrame, id_col: str, ra: str, dec: str, extra: Sequence[str], tag: str) -> DataFrame:
-    return df.filter(F.col(ra).isNotNull() & F.col(dec).isNotNull()).select(
+    known = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (ra, dec)]
+    return df.filter(known[0] & known[1]).select(
         F.col(id_col).alias(f"{tag}_id"),
         F.col(ra).cast("double").alias(f"{tag}_ra"),
         F.col(dec).cast("double").alias(f"{tag}_dec"),

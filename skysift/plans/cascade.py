@@ -52,6 +52,8 @@ def cascade(
     store = store or TableStore(items.sparkSession)
     blank = [F.lit(None).cast(t).alias(c) for c, t in MATCH_COLUMNS.items()]
     done = None
+    if not catalogs:
+        raise ValueError("a cascade needs at least one catalog")
     left = items.select("*", F.lit(None).cast("string").alias("matched_source"), *blank)
     for n, cat in enumerate(catalogs):
         flag = f"checked_{cat.name.lower()}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,13 +36,13 @@ def build_session(app: str = "skysift", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, named by the cluster.
 
-    A temporary folder is used only where the cluster names none and the master
-    is local, which is the case in tests.
+    A temporary folder is used only where none is named and the one process of a
+    local master is all there is, which is the case in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return _local_dir()
 

@@ -10,10 +10,6 @@ from skysift.operators.ordering import first_in
 from skysift.sources import schemas
 from skysift.sources.schemas import require_columns
 
-# Widest result file a reader has to expect.
-MAX_FIELDS = 24
-
-
 def _file_order() -> list[Column]:
     """Where a row stands: file, split and place within the split."""
     return [
@@ -40,9 +36,18 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _widest_header(spark: SparkSession, path: str, glob: str) -> int:
+    """Cells of the widest line of all files that can be a header: one with a file name column."""
+    lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=glob)
+    # A comma inside quotes counts too, which makes the schema wider than need be, never narrower.
+    heads = lines.filter(F.lower("value").rlike("|".join(schemas.FILENAME_NAMES)) & F.contains("value", F.lit(",")))
+    widths = heads.agg(F.max(F.size(F.split("value", ",")))).first()[0]
+    return widths or 1
+
+
 def _raw_csv(spark: SparkSession, path: str, glob: str, multiline: bool) -> DataFrame:
-    """All rows of all files as arrays of texts, headers included."""
-    fields = [f"_c{i}" for i in range(MAX_FIELDS)]
+    """All rows of all files as arrays of texts, headers included, as wide as the widest header."""
+    fields = [f"_c{i}" for i in range(max(_widest_header(spark, path, glob), 3))]
     raw = spark.read.csv(
         path, schema=", ".join(f"{f} string" for f in fields), header=False, multiLine=multiline,
         recursiveFileLookup=True, pathGlobFilter=glob, quote='"', escape='"',
@@ -56,10 +61,9 @@ def _names(cells: Column) -> Column:
 
 
 def _pick(*names: str) -> Column:
-    """Cell under the first matching header, null when the file has no such column."""
-    at = [F.array_position("header", n) for n in names]
-    first = F.coalesce(*[F.when(p > 0, p) for p in at])
-    return F.when(first.isNotNull(), F.get("cells", (first - 1).cast("int")))
+    """Cell under the first header that is one of the names, null when the file has no such column."""
+    at = F.array_position(F.transform("header", lambda h: h.isin(list(names))), True)
+    return F.when(at > 0, F.get("cells", (at - 1).cast("int")))
 
 
 def read_results(

@@ -59,5 +59,9 @@ def catch_up(totals: DataFrame, sink: str, checkpoint: str, key: list[str]) -> S
 
 
 def latest(spark: SparkSession, sink: str, query: StreamingQuery) -> DataFrame:
-    """The totals after the query's last batch."""
-    return spark.read.parquet(f"{sink}/batch={query.lastProgress['batchId']}")
+    """The newest complete version of the totals; the query's own progress may name a batch that wrote none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(sink)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    done = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{sink}/batch={max(done)}")

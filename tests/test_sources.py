@@ -213,3 +213,13 @@ def test_match_by_name(spark):
     right = spark.createDataFrame([(5, "X.jpg"), (2, "/p/x.png"), (7, "y"), (9, "w")], "row long, name string")
     got = {r["n"]: r["row"] for r in matching.match_by_name(left, right, "n", "name", "row").collect()}
     assert got == {"x": 2, "/q/Y.JPG": 7, "z.png": None}
+
+
+def test_wide_result_file_and_first_known_header(spark, tmp_path):
+    from skysift.sources.readers import read_results
+
+    names = [f"extra{i}" for i in range(200)]
+    (tmp_path / "wide.csv").write_text(",".join(["Filename", *names, "ai", "imagescore"]) + "\n" + ",".join(["x.jpg", *["0"] * 200, "0.25", "0.75"]) + "\n")
+    rows, _ = read_results(spark, str(tmp_path))
+    got = rows.collect()
+    assert [(r.image, r.score) for r in got] == [("x.jpg", 0.25)]
