@@ -95,7 +95,10 @@ def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
 
 def write_shards(docs: DataFrame, store: TableStore, vocabulary: str, key: int = 11, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> str:
     """Write all sequences of `docs`; the folder has one file below each shard=<number>, and lengths as a table beside it."""
-    made = store.write(sequences(docs, vocabulary, length), "sequences")
+    tokenized = sequences(docs, vocabulary, length)
+    # Ids of 16 bits hardly shrink under the default codec; this table lies on disk beside its shuffle and the shards.
+    tokenized.write.mode("overwrite").option("compression", "zstd").parquet(store.path("sequences"))
+    made = store.spark.read.schema(tokenized.schema).parquet(store.path("sequences"))
     counts = made.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = store.write(counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "parts")
