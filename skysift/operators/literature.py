@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skysift.functions import text
 from skysift.operators.ordering import first_in, stacked, top_in
+from skysift.session import TableStore
 
 PAPERS_CAP = 40  # fixed value: papers shown per object, name hits beyond it stay
 NEWEST = 8  # fixed value: papers per object in a summary
@@ -189,20 +190,30 @@ def summary_payload(objects: DataFrame, newest: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(objects: DataFrame, payloads: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def verdicts(
+    objects: DataFrame, payloads: DataFrame, judge: Callable[[DataFrame], DataFrame], store: TableStore | None = None
+) -> DataFrame:
     """Verdict per object; objects without papers are not discussed and reach no judge.
 
     `judge` takes object_name, payload and the counts, and returns object_name,
     genuinely_discussed, reasoning. A null verdict is a failed call: no row, so
-    the next run tries again.
+    the next run tries again. Payloads and verdicts are written before they are
+    used, so each payload is judged once whatever is done with the result; a named
+    store goes on from the verdicts it holds.
     """
+    store = store or TableStore(objects.sparkSession)
+    payloads = store.write(payloads, "payloads")
+    known = store.read("judged")
+    todo = payloads if known is None else payloads.join(known.select("object_name"), "object_name", "left_anti")
+    decided = judge(todo).select("object_name", "genuinely_discussed", "reasoning").filter(F.col("genuinely_discussed").isNotNull())
+    decided.write.mode("append").parquet(store.path("judged"))
+    judged = store.read("judged")
     bare = objects.join(payloads, "object_name", "left_anti").select(
         "object_name", F.lit(0).cast("bigint").alias("n_papers_checked"), F.lit(0).cast("bigint").alias("n_name_hits"),
         F.lit(False).alias("genuinely_discussed"), F.lit(NO_PAPERS).alias("reasoning"),
     )
-    judged = judge(payloads).select("object_name", "genuinely_discussed", "reasoning")
     counts = payloads.select("object_name", "n_papers_checked", "n_name_hits")
-    done = counts.join(judged.filter(F.col("genuinely_discussed").isNotNull()), "object_name")
+    done = counts.join(judged, "object_name")
     return bare.unionByName(done)
 
 

@@ -49,7 +49,8 @@ def model_judge(
     """Judge given by a Python call on one group of images.
 
     `call` takes a group in slot order with `columns` and returns slot, the
-    decision and optionally input_tokens and output_tokens. Whole groups are
+    decision and optionally input_tokens and output_tokens; or a pair of such a frame
+    and the call's tokens by name, so that a call that selects nothing counts. Whole groups are
     gathered into one row each, so Spark spreads the calls over tasks and Arrow
     moves many groups at a time. A call that raises leaves the group undecided.
     """
@@ -69,12 +70,14 @@ def model_judge(
                         break
                     except Exception:
                         continue
-                if found is None:
-                    found = group[["slot"]].assign(**{decision: None, "input_tokens": 0, "output_tokens": 0})
-                found = found.assign(run=run, round=round_, grp=grp)
+                found, spent = found if isinstance(found, tuple) else (found, {})
+                found = pd.DataFrame(columns=["slot", decision]) if found is None else found
+                # The tokens of a call stand on all rows of its group, whatever it selects.
                 for c in ("input_tokens", "output_tokens"):
-                    if c not in found:
-                        found[c] = 0
+                    most = found[c].max() if c in found and len(found) else None
+                    spent = {c: 0 if pd.isna(most) else int(most), **spent}
+                chosen = found.reindex(columns=["slot", decision]).astype({"slot": "int64"})
+                found = group[["slot"]].merge(chosen, on="slot", how="left").assign(run=run, round=round_, grp=grp, **spent)
                 outs.append(found[names])
             if outs:
                 out = pd.concat(outs)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from skysift.operators import literature, views
 from skysift.plans.judges import model_verdicts
+from skysift.session import TableStore
 
 PAPER = "object_name string, bibcode string, year string, title string, alias string, seq long"
 
@@ -106,6 +107,31 @@ def test_verdicts(spark):
     assert got == {"a": (True, 2), "c": (False, 0)}  # the failed call has no row and is tried again
 
 
+def test_verdicts_are_decided_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    objects = spark.createDataFrame([("a",), ("b",)], "object_name string")
+    payloads = spark.createDataFrame([("a", 2, 1, "yes"), ("b", 1, 0, "late")], "object_name string, n_papers_checked long, n_name_hits long, payload string")
+
+    def judge(answers):
+        def call(name, payload):
+            calls.add(1)
+            if payload not in answers:
+                raise RuntimeError("no answer")
+            return True, "why"
+
+        return model_verdicts(call)
+
+    store = TableStore(spark, "named-verdicts")
+    new = literature.verdicts(objects, payloads, judge({"yes"}), store)
+    old = spark.createDataFrame([("a", 2, 0, "False", "r")], "object_name string, n_papers_checked long, n_name_hits long, genuinely_discussed string, reasoning string")
+    rows, flips = literature.upsert_verdicts(old, new)
+    assert rows.count() == 1 and flips.first()[0] == 1 and calls.value == 2
+    # The failed call alone is made again.
+    again = literature.verdicts(objects, payloads, judge({"yes", "late"}), TableStore(spark, "named-verdicts"))
+    assert {r["object_name"] for r in again.collect()} == {"a", "b"} and calls.value == 3
+    store.drop()
+
+
 @pytest.mark.parametrize("budget, work, skipped", [(1, ["big"], []), (2, ["big", "mid"], ["none"]), (9, ["big", "mid", "tiny"], ["none", "nil"])])
 def test_work_list(spark, budget, work, skipped):
     todo = spark.createDataFrame(

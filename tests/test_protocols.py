@@ -214,6 +214,17 @@ def test_model_judge_for_grids(spark):
     assert {r["id"]: r["imagescore"] for r in out.scores.collect()} == {0: 0, 1: 0, 2: 12, 3: 0, 4: 0}
 
 
+def test_tokens_of_calls_that_select_nothing(spark):
+    def call(group):
+        chosen = group[group["id"] == 2]
+        return chosen[["slot"]].assign(score=4), {"input_tokens": 7, "output_tokens": 1}
+
+    out = protocols.rating_grid(ids(spark, 8), judges.model_judge(call, ["id"], "score"), side=2, views=1, seed=1)
+    got = tallies.run_tokens(out.log).first()
+    assert (got["input_tokens"], got["output_tokens"]) == (14, 2)
+    assert sum(r["imagescore"] for r in out.scores.collect()) == 4
+
+
 def test_valid_grades_and_last_judgment(spark):
     log = spark.createDataFrame([(0, 3), (17, 3), (1, 0), (16, 5), (2, 6), (3, None)], "slot int, score int")
     assert [tuple(r) for r in tallies.valid_grades(log).collect()] == [(16, 5)]
