@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.functions.numbers import f1_of, histogram_bin, share
-from skysift.operators.ordering import first_in, running, score_bucket, stacked
+from skysift.operators.ordering import first_in, running, score_buckets, stacked
 
 # Images written by one task at a time when a band is expanded to ranks.
 EXPAND_CHUNK = 65536
@@ -25,7 +25,7 @@ def score_bands(df: DataFrame, keys: list[str], score: str = "score", truth: str
         .agg(F.count("*").alias("n"), F.count(F.when(F.col(truth).cast("int") == 1, 1)).alias("tp"))
     )
     return running(
-        bands, keys, -score_bucket("score"), [F.col("score").desc()],
+        bands, keys, score_buckets("score"), [F.col("score").desc()],
         {"n_ge": "n", "tp_ge": "tp"}, {"n_all": "n", "p_all": "tp"},
     )
 

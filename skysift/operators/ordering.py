@@ -31,46 +31,47 @@ def hash_bucket(key: Column | str) -> Column:
     return F.shiftright(key, 60 - HASH_BUCKET_BITS)
 
 
-def score_bucket(score: Column | str) -> Column:
-    """Bucket that never falls as the score rises; about 1000 per factor of e."""
+def score_bucket(score: Column | str, per_e: int = 1024) -> Column:
+    """Bucket that never falls as the score rises; about `per_e` per factor of e."""
     score = (F.col(score) if isinstance(score, str) else score).cast("double")
     size = F.log1p(F.least(F.abs(score), F.lit(1e300)))
-    return F.floor(F.signum(score) * size * 1024).cast("bigint")
+    return F.floor(F.signum(score) * size * per_e).cast("bigint")
 
 
+def score_buckets(score: Column | str) -> list[Column]:
+    """Ever finer buckets of falling scores, 1024 of each in one of the last, for scores crowded in a narrow range."""
+    fine = -score_bucket(score, 1024 * 1024)
+    return [F.shiftright(fine, 10), fine]
+
 
 def running(
     df: DataFrame,
     keys: list[str],
-    bucket: Column,
+    bucket: Column | list[Column],
     order: list[Column],
     sums: dict[str, str],
     totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (`out -> column`) per key in `order`, and key totals.
 
-    `bucket` must not fall along `order`. Rows equal under `order` are summed in
-    an arbitrary order, so it should be total. Keys must not be null.
+    `bucket` must not fall along `order`; a list holds ever finer buckets, each inside
+    the one before it. Rows equal under `order` are summed in an arbitrary order, so it
+    should be total. Keys must not be null.
     """
     totals = totals or {}
     wanted = sorted({*sums.values(), *totals.values()})
+    buckets = bucket if isinstance(bucket, list) else [bucket]
+    names = [f"_bucket{i}" for i in range(len(buckets))]
     # The join below asks for keys that are not null. Asked for here, the filter is the same on
     # both sides of it, so that both read one and the same shuffle of df.
-    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, "_bucket"]])
-    tagged = df.withColumn("_bucket", bucket).filter(present)
-    within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-
-    sizes = tagged.groupBy(*keys, "_bucket").agg(*[F.sum(c).alias(f"_sum_{c}") for c in wanted])
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    offsets = sizes.select(
-        *keys,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)).alias(f"_off_{o}") for o, c in sums.items()],
-        *[F.sum(f"_sum_{c}").over(whole).alias(f"_tot_{o}") for o, c in totals.items()],
-    )
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in [*keys, *names]])
+    tagged = df.withColumns(dict(zip(names, buckets, strict=True))).filter(present)
+    within = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    sizes = tagged.groupBy(*keys, *names).agg(*[F.sum(c).alias(f"_sum_{c}") for c in wanted])
+    offsets = _offsets(sizes, keys, names, sums, totals)
     local = tagged.select("*", *[F.sum(c).over(within).alias(f"_run_{o}") for o, c in sums.items()])
-    joined = local.join(offsets, [*keys, "_bucket"])
+    joined = local.join(offsets, [*keys, *names])
     return joined.select(
         *[F.col(f"`{c}`") for c in df.columns],
         *[(F.col(f"_run_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums],
@@ -78,6 +79,29 @@ def running(
     )
 
 
+def _offsets(sizes: DataFrame, keys: list[str], names: list[str], sums: dict[str, str], totals: dict[str, str]) -> DataFrame:
+    """Sums of all that comes before each bucket (_off_) and of its whole key (_tot_).
+
+    A window sees the finer buckets of one coarser bucket, or the coarsest ones of a key.
+    """
+    outer = [*keys, *names[:-1]]
+    before = Window.partitionBy(*outer).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    offs = {o: F.coalesce(F.sum(f"_sum_{c}").over(before), F.lit(0)) for o, c in sums.items()}
+    if len(names) == 1:
+        whole = Window.partitionBy(*outer)
+        return sizes.select(*outer, names[-1], *[c.alias(f"_off_{o}") for o, c in offs.items()],
+                            *[F.sum(f"_sum_{c}").over(whole).alias(f"_tot_{o}") for o, c in totals.items()])
+    wanted = sorted({*sums.values(), *totals.values()})
+    coarser = sizes.groupBy(*outer).agg(*[F.sum(f"_sum_{c}").alias(f"_sum_{c}") for c in wanted])
+    base = _offsets(coarser, keys, names[:-1], sums, totals)
+    base = base.withColumnsRenamed({f"_off_{o}": f"_base_{o}" for o in sums})
+    inner = sizes.select(*outer, names[-1], *[c.alias(f"_in_{o}") for o, c in offs.items()])
+    return inner.join(base, outer).select(
+        *outer, names[-1], *[(F.col(f"_in_{o}") + F.col(f"_base_{o}")).alias(f"_off_{o}") for o in sums],
+        *[f"_tot_{o}" for o in totals],
+    )
+
+
 def positions(
     df: DataFrame,
     keys: list[str],

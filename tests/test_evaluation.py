@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysift.operators import agreement, bands, regression, replicates, views
-from skysift.operators.ordering import exact_quantiles, positions, running, score_bucket, top_in
+from skysift.operators.ordering import exact_quantiles, positions, running, score_bucket, score_buckets, top_in
 from skysift.plans.evaluation import dashboard
 
 
@@ -126,6 +126,18 @@ def test_many_scores_in_many_buckets(spark):
     assert got == {s: i + 1 for i, s in enumerate(ordered)}
 
 
+def test_crowded_scores_are_split(spark):
+    # 100,000 distinct scores within a thousandth, and one far below them.
+    n = 100_000
+    near = spark.range(n).select(F.lit("r").alias("run"), F.col("id").alias("image"), (0.999 + F.col("id") / (n * 1000)).alias("score"), F.lit(1).alias("truth"))
+    df = near.union(spark.createDataFrame([("r", n, -5.0, 0)], near.schema))
+    last = near.groupBy(score_buckets("score")[-1].alias("b")).count()
+    assert last.count() > 400 and last.agg(F.max("count")).first()[0] < 500
+    got = bands.score_bands(df, ["run"]).join(near.select("score", (n - F.col("image")).alias("place")), "score", "left")
+    assert got.filter("place is null").select("score", "n_ge", "tp_ge", "n_all", "p_all").collect() == [(-5.0, n + 1, n, n + 1, n)]
+    assert got.filter("place = n_ge and place = tp_ge and n_all = 100001").count() == n
+
+
 def test_positions_and_running(spark):
     rows = [(k, i, (i * 37) % 101) for k in ("a", "b") for i in range(200)]
     df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
