@@ -4,9 +4,11 @@ Every page becomes a small tree of its containers, in which a run of text
 blocks is one node. One page of each host, the one of smallest hash, is the
 reference; all pages of the host are aligned with it by simple tree matching. Over
 all aligned pages, a reference node whose text hardly varies is template; the main
-slot is where most varying text stands. A page's article is what its own article or
-main element holds, else the node aligned with the main slot, else its body without
-template nodes; parts that are never article are left out everywhere.
+slot is where most varying text stands. A page's article is the node aligned with the
+main slot without template; an own article or main element around it, or the only one
+in it, gives its bounds. Pages that are not aligned and hosts with fewer than
+TEMPLATE_PAGES pages give what their article or main elements hold, else their body
+without template nodes; parts that are never article are left out everywhere.
 
 Statistics are one narrow row per aligned node, combined before they are shuffled;
 references are skeletons of hashes, and how they meet the pages is left to Spark's
@@ -145,7 +147,7 @@ def blocks_of(node: Node, dropped: set[int], out: list[str], line: list[str], in
             continue
         if part.tag == "br" or part.tag in BLOCK:
             flush(out, line)
-            blocks_of(part, dropped, out, line, in_article)
+            blocks_of(part, dropped, out, line, in_article or part.main)
             flush(out, line)
         else:
             blocks_of(part, dropped, out, line, in_article)
@@ -255,17 +257,17 @@ def matched(a: list[list], b: list[list]) -> dict[int, int]:
     return out
 
 
-def main_text(root: Node, wrapper: dict | None) -> str:
-    """Text of the article of a parsed page, given its host's wrapper."""
-    tops, dropped = articles(root), set()
-    if not tops:
-        tops = [root]
-        if wrapper:
-            shape, nodes = skeleton(root)
-            pairs = {y: x for x, y in matched(shape, wrapper["shape"]).items()}
-            dropped = {pairs[y] for y in wrapper["template"] if y in pairs}
-            if wrapper["slot"] in pairs:
-                tops = nodes[pairs[wrapper["slot"]]]
+def holds(node: Node, other: Node) -> bool:
+    """Whether `other` is the node or stands below it."""
+    return node is other or any(isinstance(part, Node) and holds(part, other) for part in node.parts)
+
+
+def text_hash(nodes: list[Node]) -> int:
+    text = "" if not nodes or nodes[0].skip else "\n".join(plain(n) for n in nodes)
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+
+
+def text_of(tops: list[Node], dropped: set[int]) -> str:
     out: list[str] = []
     for top in tops:
         line: list[str] = []
@@ -274,6 +276,29 @@ def main_text(root: Node, wrapper: dict | None) -> str:
     return "\n".join(out)
 
 
+def main_text(root: Node, wrapper: dict | None) -> str:
+    """Text of the article of a parsed page, given its host's wrapper.
+
+    The node aligned with the main slot decides, without what is template. An own
+    article element that holds it, or the only one in it, gives its bounds; there,
+    only nodes with the template's very text are left out.
+    """
+    own = articles(root)
+    if not wrapper:
+        return text_of(own or [root], set())
+    shape, nodes = skeleton(root)
+    pairs = {y: x for x, y in matched(shape, wrapper["shape"]).items()}
+    template = {pairs[y]: same for y, same in wrapper["template"] if y in pairs}
+    if wrapper["pages"] >= TEMPLATE_PAGES and wrapper["slot"] in pairs:
+        tops = nodes[pairs[wrapper["slot"]]]
+        around = [a for a in own if holds(a, tops[0])] or [a for a in own if holds(tops[0], a)]
+        exact = len(around) == 1
+        text = text_of(around if exact else tops, {x for x, same in template.items() if not exact or text_hash(nodes[x]) == same})
+        if text:
+            return text
+    return text_of(own, set()) if own else text_of([root], set(template))
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
@@ -313,17 +338,19 @@ def wrappers(pages: DataFrame, store: TableStore) -> DataFrame:
     aligned = rows.select("host", "html").join(shapes, "host").select("host", "html", "shape")
     aligned = aligned.mapInArrow(align, "host string, number int, text_hash long, size long")
     texts = aligned.groupBy("host", "number", "text_hash").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    each = texts.groupBy("host", "number").agg(F.sum("n").alias("pages"), F.max("n").alias("same"), F.sum(F.col("n") * F.col("size")).alias("mass"))
+    each = texts.groupBy("host", "number").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "text_hash")).alias("most"), F.sum(F.col("n") * F.col("size")).alias("mass"))
+    each = each.select("host", "number", "pages", F.col("most.n").alias("same"), F.col("most.text_hash").alias("text_hash"), "mass")
     # One entry per node of the reference page.
-    tallied = each.groupBy("host").agg(F.collect_list(F.struct("number", "pages", "same", "mass")).alias("nodes")).join(shapes, "host")
+    tallied = each.groupBy("host").agg(F.collect_list(F.struct("number", "pages", "same", "text_hash", "mass")).alias("nodes")).join(shapes, "host")
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for nodes, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 shape = json.loads(text)
-                template = [n["number"] for n in nodes if n["same"] >= TEMPLATE_PAGES and n["same"] >= TEMPLATE_SHARE * n["pages"] and shape[n["number"]][0] not in ("html", "body")]
-                mass = {n["number"]: 0 if n["number"] in set(template) else n["mass"] for n in nodes}
+                template = [(n["number"], n["text_hash"]) for n in nodes if n["same"] >= TEMPLATE_PAGES and n["same"] >= TEMPLATE_SHARE * n["pages"] and shape[n["number"]][0] not in ("html", "body")]
+                constant = {number for number, _ in template}
+                mass = {n["number"]: 0 if n["number"] in constant else n["mass"] for n in nodes}
                 slot, kids = -1, [i for i, (_, above) in enumerate(shape) if above == -1]
                 whole = max([mass.get(i, 0) for i in kids], default=0)
                 while kids:
@@ -331,7 +358,7 @@ def wrappers(pages: DataFrame, store: TableStore) -> DataFrame:
                     if shape[top][0] not in CONTAINER or mass.get(top, 0) < SLOT_SHARE * whole or not whole:
                         break
                     slot, kids = top, [i for i, (_, above) in enumerate(shape) if above == top]
-                made.append(json.dumps({"shape": shape, "template": template, "slot": slot}))
+                made.append(json.dumps({"shape": shape, "template": template, "slot": slot, "pages": max(n["pages"] for n in nodes)}))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
 
     return store.write(tallied.select("host", "nodes", "shape").mapInArrow(induce, "host string, wrapper string"), "wrappers")

@@ -378,6 +378,19 @@ def test_pages(spark):
     assert all(got[100 + i] == [f"Story {'n%d' % i * 3} one {'n%d' % i * 3}\nStory {'n%d' % i * 3} two and more words {'n%d' % i * 3}"] for i in range(6))
 
 
+def test_slot_and_template_decide_where_pages_have_articles(spark):
+    page = ('<html><body><article><h1>Head {0}</h1><div class="q"><p>Our shop has offers</p></div><div class="t"><p>Story {0} goes {0} and on with many words {0}</p></div></article>'
+            '<div class="z"><article><p>Card one {0}</p></article><article><p>Card two</p></article></div></body></html>')
+    rows = [(i, f"http://c.x/{i}", page.format(f"n{i}" * 3)) for i in range(6)]
+    rows.append((6, "http://c.x/6", page.format("n6n6n6").replace("Our shop has offers", "A note of its own")))
+    rows.append((10, "http://one.x/1", page.format("alone")))
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), TableStore(spark)).collect()}
+    story = lambda n: f"Story {n} goes {n} and on with many words {n}"
+    assert all(out[i] == f"Head {'n%d' % i * 3}\n{story('n%d' % i * 3)}" for i in range(6))
+    assert out[6] == f"Head n6n6n6\nA note of its own\n{story('n6n6n6')}"
+    assert out[10].startswith("Head alone\nOur shop has offers\nStory alone")  # one page tells nothing of its host
+
+
 def test_given_pages_give_their_article(spark):
     for r in pages.extract(spark.read.parquet(f"{SF}/pages.parquet"), TableStore(spark)).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
