@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.session import TableStore
@@ -37,6 +37,8 @@ from skysift.session import TableStore
 TEMPLATE_PAGES, TEMPLATE_SHARE = 3, 0.5
 # The main slot goes down to a container while it holds this share of the varying text.
 SLOT_SHARE = 0.6
+# Layouts of a host: of so many commonest skeletons the first, and those that share less than this of their nodes with the ones before.
+CANDIDATES, LAYOUTS, SAME_LAYOUT = 16, 4, 0.8
 
 # Fixed values of HTML: elements without end, with raw text, that end a paragraph, and that are never article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,11 +176,28 @@ def articles(node: Node) -> list[Node]:
     return found
 
 
-def plain(node: Node) -> str:
+def plain_blocks(node: Node, known: dict[int, list[str]]) -> list[str]:
+    """Texts of the blocks below a node, each made once for all nodes above it; `known` serves one page."""
+    if id(node) in known:
+        return known[id(node)]
     out: list[str] = []
-    blocks_of(node, set(), out, line := [], True)
+    line: list[str] = []
+
+    def walk(inner: Node) -> None:
+        for part in inner.parts:
+            if isinstance(part, str):
+                line.append(part)
+            elif part.tag == "br" or part.tag in BLOCK:
+                flush(out, line)
+                if not part.skip:
+                    out.extend(plain_blocks(part, known))
+            elif not part.skip:
+                walk(part)
+
+    walk(node)
     flush(out, line)
-    return "\n".join(out)
+    known[id(node)] = out
+    return out
 
 
 # A skeleton is a list of [tag, number of the parent]; node numbers are places in that list.
@@ -262,8 +281,11 @@ def holds(node: Node, other: Node) -> bool:
     return node is other or any(isinstance(part, Node) and holds(part, other) for part in node.parts)
 
 
-def text_hash(nodes: list[Node]) -> int:
-    text = "" if not nodes or nodes[0].skip else "\n".join(plain(n) for n in nodes)
+def plain(nodes: list[Node], known: dict[int, list[str]]) -> str:
+    return "" if not nodes or nodes[0].skip else "\n".join(x for n in nodes for x in plain_blocks(n, known))
+
+
+def hash_of(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
@@ -276,7 +298,7 @@ def text_of(tops: list[Node], dropped: set[int]) -> str:
     return "\n".join(out)
 
 
-def main_text(root: Node, wrapper: dict | None) -> str:
+def main_text(root: Node, wrapper: list[dict] | None) -> str:
     """Text of the article of a parsed page, given its host's wrapper.
 
     The node aligned with the main slot decides, without what is template. An own
@@ -287,13 +309,15 @@ def main_text(root: Node, wrapper: dict | None) -> str:
     if not wrapper:
         return text_of(own or [root], set())
     shape, nodes = skeleton(root)
-    pairs = {y: x for x, y in matched(shape, wrapper["shape"]).items()}
-    template = {pairs[y]: same for y, same in wrapper["template"] if y in pairs}
-    if wrapper["pages"] >= TEMPLATE_PAGES and wrapper["slot"] in pairs:
-        tops = nodes[pairs[wrapper["slot"]]]
+    k, found = nearest(shape, [layout["shape"] for layout in wrapper])
+    layout, pairs = wrapper[k], {y: x for x, y in found.items()}
+    template = {pairs[y]: same for y, same in layout["template"] if y in pairs}
+    if layout["pages"] >= TEMPLATE_PAGES and layout["slot"] in pairs:
+        tops = nodes[pairs[layout["slot"]]]
         around = [a for a in own if holds(a, tops[0])] or [a for a in own if holds(tops[0], a)]
         exact = len(around) == 1
-        text = text_of(around if exact else tops, {x for x, same in template.items() if not exact or text_hash(nodes[x]) == same})
+        known: dict[int, list[str]] = {}
+        text = text_of(around if exact else tops, {x for x, same in template.items() if not exact or hash_of(plain(nodes[x], known)) == same})
         if text:
             return text
     return text_of(own, set()) if own else text_of([root], set(template))
@@ -307,61 +331,108 @@ def hosted(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Da
     return pages.select(host_of(pages[url_col]).alias("host"), pages[html_col].alias("html"), F.xxhash64(pages[url_col], pages[html_col]).alias("page_key"))
 
 
+def likeness(pairs: dict[int, int], a: list[list], b: list[list]) -> float:
+    return 2 * len(pairs) / max(len(a) + len(b), 1)
+
+
+def nearest(shape: list[list], references: list[list[list]]) -> tuple[int, dict[int, int]]:
+    """Number of the reference most like the shape, the first of equals, and the match of the shape's nodes with its nodes."""
+    for k, reference in enumerate(references):
+        if reference == shape:
+            return k, {i: i for i in range(len(shape))}
+    found = [matched(shape, reference) for reference in references]
+    k = max(range(len(found)), key=lambda i: likeness(found[i], shape, references[i]))
+    return k, found[k]
+
+
 def wrappers(pages: DataFrame, store: TableStore) -> DataFrame:
-    """host and wrapper (JSON: shape, template, slot) from the alignment of all pages of each host."""
+    """host and wrapper (JSON list, one per layout: shape, template, slot, pages) from the alignment of all pages of each host."""
     rows = hosted(pages)
-    firsts = rows.groupBy("host").agg(F.min("page_key").alias("page_key"))
-    first = rows.join(store.write(firsts, "references"), ["host", "page_key"]).dropDuplicates(["host"])
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shapes = [json.dumps(skeleton(parse(h or ""))[0]) for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string())], names=["host", "shape"])
+            hosts, shapes, wholes = [], [], []
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root = parse(page or "")
+                shape = skeleton(root)[0]
+                text = plain([root], {})
+                if shape and text:
+                    hosts.append(host)
+                    shapes.append(json.dumps(shape, separators=(",", ":")))
+                    wholes.append(hash_of(text))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(shapes, pa.string()), pa.array(wholes, pa.int64())], names=["host", "shape", "whole"])
 
-    shapes = store.write(first.select("host", "html").mapInArrow(outline, "host string, shape string"), "shapes")
+    outlines = rows.select("host", "html").mapInArrow(outline, "host string, shape string, whole long").distinct()
+    counted = outlines.groupBy("host", "shape").agg(F.count("*").alias("n"))
+    # Spark limits ranked rows in each task before it deals them out.
+    commonest = counted.withColumn("_rank", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("n"), "shape"))).filter(F.col("_rank") <= CANDIDATES)
+    candidates = commonest.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("_rank", "shape"))).alias("shapes"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for shapes in batch.column(1).to_pylist():
+                chosen: list[list[list]] = []
+                for shape in (json.loads(x["shape"]) for x in shapes):
+                    if len(chosen) < LAYOUTS and all(likeness(matched(shape, c), shape, c) < SAME_LAYOUT for c in chosen):
+                        chosen.append(shape)
+                made.append(json.dumps(chosen))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "shapes"])
+
+    layouts = store.write(candidates.select("host", "shapes").mapInArrow(choose, "host string, shapes string"), "layouts")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, numbers, hashes, sizes, known = [], [], [], [], {}
-            for host, page, shape in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                reference = known.get(shape) or known.setdefault(shape, json.loads(shape))
-                mine, nodes = skeleton(parse(page or ""))
-                for x, y in matched(mine, reference).items():
-                    text = "" if nodes[x][0].skip else "\n".join(plain(n) for n in nodes[x])
+            hosts, layout, numbers, hashes, sizes, wholes, known = [], [], [], [], [], [], {}
+            for host, page, shapes in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                references = known.get(shapes) or known.setdefault(shapes, json.loads(shapes))
+                root = parse(page or "")
+                mine, nodes = skeleton(root)
+                k, pairs = nearest(mine, references)
+                texts: dict[int, list[str]] = {}
+                whole = hash_of(plain([root], texts))
+                for x, y in pairs.items():
+                    text = plain(nodes[x], texts)
                     hosts.append(host)
+                    layout.append(k)
                     numbers.append(y)
-                    hashes.append(xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63))
+                    hashes.append(hash_of(text))
                     sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64())],
-                                             names=["host", "number", "text_hash", "size"])
-
-    aligned = rows.select("host", "html").join(shapes, "host").select("host", "html", "shape")
-    aligned = aligned.mapInArrow(align, "host string, number int, text_hash long, size long")
-    texts = aligned.groupBy("host", "number", "text_hash").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    each = texts.groupBy("host", "number").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "text_hash")).alias("most"), F.sum(F.col("n") * F.col("size")).alias("mass"))
-    each = each.select("host", "number", "pages", F.col("most.n").alias("same"), F.col("most.text_hash").alias("text_hash"), "mass")
-    # One entry per node of the reference page.
-    tallied = each.groupBy("host").agg(F.collect_list(F.struct("number", "pages", "same", "text_hash", "mass")).alias("nodes")).join(shapes, "host")
+                    wholes.append(whole)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(layout, pa.int32()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(wholes, pa.int64())],
+                names=["host", "layout", "number", "text_hash", "size", "whole"])
+
+    aligned = rows.select("host", "html").join(layouts, "host").select("host", "html", "shapes")
+    aligned = aligned.mapInArrow(align, "host string, layout int, number int, text_hash long, size long, whole long")
+    # Copies of a page tell no more of its host than one of them.
+    distinct = aligned.groupBy("host", "layout", "number", "text_hash", "whole").agg(F.max("size").alias("size"))
+    texts = distinct.groupBy("host", "layout", "number", "text_hash").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    each = texts.groupBy("host", "layout", "number").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "text_hash")).alias("most"), F.sum(F.col("n") * F.col("size")).alias("mass"))
+    each = each.select("host", "layout", "number", "pages", F.col("most.n").alias("same"), F.col("most.text_hash").alias("text_hash"), "mass")
+    # One entry per node of the reference skeletons.
+    tallied = each.groupBy("host").agg(F.collect_list(F.struct("layout", "number", "pages", "same", "text_hash", "mass")).alias("nodes")).join(layouts, "host")
+
+    def induced(shape: list[list], nodes: list[dict]) -> dict:
+        template = [(n["number"], n["text_hash"]) for n in nodes if n["same"] >= TEMPLATE_PAGES and n["same"] >= TEMPLATE_SHARE * n["pages"] and shape[n["number"]][0] not in ("html", "body")]
+        constant = {number for number, _ in template}
+        mass = {n["number"]: 0 if n["number"] in constant else n["mass"] for n in nodes}
+        slot, kids = -1, [i for i, (_, above) in enumerate(shape) if above == -1]
+        whole = max([mass.get(i, 0) for i in kids], default=0)
+        while kids:
+            top = max(kids, key=lambda i: mass.get(i, 0))
+            if shape[top][0] not in CONTAINER or mass.get(top, 0) < SLOT_SHARE * whole or not whole:
+                break
+            slot, kids = top, [i for i, (_, above) in enumerate(shape) if above == top]
+        return {"shape": shape, "template": template, "slot": slot, "pages": max([n["pages"] for n in nodes], default=0)}
 
     def induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for nodes, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                shape = json.loads(text)
-                template = [(n["number"], n["text_hash"]) for n in nodes if n["same"] >= TEMPLATE_PAGES and n["same"] >= TEMPLATE_SHARE * n["pages"] and shape[n["number"]][0] not in ("html", "body")]
-                constant = {number for number, _ in template}
-                mass = {n["number"]: 0 if n["number"] in constant else n["mass"] for n in nodes}
-                slot, kids = -1, [i for i, (_, above) in enumerate(shape) if above == -1]
-                whole = max([mass.get(i, 0) for i in kids], default=0)
-                while kids:
-                    top = max(kids, key=lambda i: mass.get(i, 0))
-                    if shape[top][0] not in CONTAINER or mass.get(top, 0) < SLOT_SHARE * whole or not whole:
-                        break
-                    slot, kids = top, [i for i, (_, above) in enumerate(shape) if above == top]
-                made.append(json.dumps({"shape": shape, "template": template, "slot": slot, "pages": max(n["pages"] for n in nodes)}))
+            made = [json.dumps([induced(shape, [n for n in nodes if n["layout"] == k]) for k, shape in enumerate(json.loads(shapes))])
+                    for nodes, shapes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
 
-    return store.write(tallied.select("host", "nodes", "shape").mapInArrow(induce, "host string, wrapper string"), "wrappers")
+    return store.write(tallied.select("host", "nodes", "shapes").mapInArrow(induce, "host string, wrapper string"), "wrappers")
 
 
 def extract(pages: DataFrame, store: TableStore, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -373,7 +444,7 @@ def extract(pages: DataFrame, store: TableStore, id_col: str = "page_id", url_co
     id_type = own.schema["page_id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, dict] = {}
+        known: dict[str, list[dict]] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

@@ -391,6 +391,23 @@ def test_slot_and_template_decide_where_pages_have_articles(spark):
     assert out[10].startswith("Head alone\nOur shop has offers\nStory alone")  # one page tells nothing of its host
 
 
+def test_copies_and_odd_pages_do_not_decide_for_a_host(spark):
+    plain = "<html><body><div class=x><p>Site name</p></div><div><p>Story {0} one {0}</p><p>Story {0} two and more words {0}</p></div><div><p>All rights</p></div></body></html>"
+    other = "<html><body><section><div><div><p>Table of {0}</p><p>More of {0} with some words {0}</p></div></div></section><section><p>Other site line</p></section></body></html>"
+    names = [f"n{i}" * 3 for i in range(6)]
+    rows = [(100 + i, f"http://d.x/{i}", plain.format(n)) for i, n in enumerate(names)]
+    rows += [(200 + i, f"http://d.x/copy{i}", plain.format("copied")) for i in range(20)]
+    rows += [(300 + i, f"http://d.x/t{i}", other.format(n)) for i, n in enumerate(names[:5])]
+    rows += [(400 + i, f"http://d.x/empty{i}", (None, "", "<p>", "<table><tr><td>odd</table>")[i % 4]) for i in range(40)]
+    rows += [(500 + i, f"http://e.x/{i}", plain.format("copied")) for i in range(5)]
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), TableStore(spark)).collect()}
+    story = lambda n: f"Story {n} one {n}\nStory {n} two and more words {n}"
+    assert all(out[100 + i] == story(n) for i, n in enumerate(names))
+    assert all(out[200 + i] == story("copied") for i in range(20))
+    assert all(out[300 + i] == f"Table of {n}\nMore of {n} with some words {n}" for i, n in enumerate(names[:5]))
+    assert out[400] == out[401] == "" and all(story("copied") in out[500 + i] for i in range(5))
+
+
 def test_given_pages_give_their_article(spark):
     for r in pages.extract(spark.read.parquet(f"{SF}/pages.parquet"), TableStore(spark)).join(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html"), "page_id").collect():
         body = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
