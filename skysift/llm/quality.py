@@ -12,7 +12,8 @@ texts stay where they are. Each step reads the written statistics.
 
 Defined results: a null or empty text has no words and fails; null language or
 source is a group of its own; a group with fewer than SMALL_GROUP documents to
-fit rejects none by distance; repeated rows are judged alike; an empty table
+fit is judged by the estimate of its language, and where that has fewer, of all
+rows; repeated rows are judged alike; an empty table
 gives no rows.
 """
 
@@ -34,7 +35,10 @@ MAX_REPEAT_PERCENT = 50
 STEPS = 3
 # Squared distances in units of the group's median one. For a normal vector of five the median is 4.35.
 CUTOFF = 32.0
+# From so many documents to fit on, a group or a language has an estimate of its own.
 SMALL_GROUP = 30
+# Estimates are made per language and source (0), per language (1) and over all rows (2).
+KEYS = ["level", "lang", "source"]
 # Smallest standard deviation of each transformed statistic: how far clean prose of one kind may always vary.
 FLOORS = {"x_length": 0.25, "x_word": 0.06, "x_symbols": 0.06, "x_lines": 0.12, "x_repeats": 0.12}
 FEATURES = list(FLOORS)
@@ -100,13 +104,19 @@ def whitening(cov: dict[tuple[str, str], Column]) -> dict[str, Column]:
 def _with_factor(moments: DataFrame, cov: dict[tuple[str, str], Column]) -> DataFrame:
     for name, value in whitening(cov).items():
         moments = moments.withColumn(name, value)
-    return moments.select("lang", "source", *[f"m_{f}" for f in FEATURES], *[f"l_{a}_{b}" for a, b in _pairs()], *[c for c in ("n_fit", "d_mid") if c in moments.columns])
+    return moments.select(*KEYS, *[f"m_{f}" for f in FEATURES], *[f"l_{a}_{b}" for a, b in _pairs()], *[c for c in ("n_fit", "d_mid") if c in moments.columns])
 
 
-def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Add d2, the squared Mahalanobis distance from the model of the row's language and source."""
-    on = rows["lang"].eqNullSafe(model["lang"]) & rows["source"].eqNullSafe(model["source"])
-    out = rows.join(model, on, "left").drop(model["lang"]).drop(model["source"])
+def _with_keys(rows: DataFrame, more: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null."""
+    named = more.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return rows.join(named, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
+def distances(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
+    """Add d2, the squared Mahalanobis distance from the model that has the row's keys."""
+    out = _with_keys(rows, model, keys, "left")
     for i, a in enumerate(FEATURES):
         z = F.col(a) - F.col(f"m_{a}")
         for b in FEATURES[:i]:
@@ -116,40 +126,54 @@ def distances(rows: DataFrame, model: DataFrame) -> DataFrame:
     return out.withColumn("d2", d2).drop(*[f"z_{f}" for f in FEATURES], *[f"m_{f}" for f in FEATURES], *[f"l_{a}_{b}" for a, b in _pairs()])
 
 
+def levelled(rows: DataFrame) -> DataFrame:
+    """Each row to fit once for its language and source, once for its language and once for all."""
+    none = F.lit(None).cast("string")
+    places = F.array(*[F.struct(F.lit(k).alias("level"), lang.alias("lang"), source.alias("source"))
+                       for k, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), none), (none, none)])])
+    return rows.filter(~F.col("base_failed")).select(F.explode(places).alias("_place"), *FEATURES).select("_place.*", *FEATURES)
+
+
 def robust_model(rows: DataFrame, store: TableStore, steps: int = STEPS) -> DataFrame:
-    """Mean, Cholesky factor, n_fit and d_mid (median d2) per language and source."""
-    fit = rows.filter(~F.col("base_failed"))
-    keys = ["lang", "source"]
-    middle = fit.groupBy(*keys).agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{f}") for f in FEATURES])
+    """Mean, Cholesky factor, n_fit and d_mid (median d2) per level, language and source."""
+    fit = levelled(rows)
+    middle = fit.groupBy(*KEYS).agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{f}") for f in FEATURES])
     middle = store.write(middle, "middle")
-    on = fit["lang"].eqNullSafe(middle["lang"]) & fit["source"].eqNullSafe(middle["source"])
-    near = fit.join(middle, on).drop(middle["lang"]).drop(middle["source"])
-    first = near.groupBy(*keys).agg(
+    first = _with_keys(fit, middle, KEYS).groupBy(*KEYS).agg(
         *[F.first(f"m_{f}").alias(f"m_{f}") for f in FEATURES],
         *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{f}")), 0.5, 1000).alias(f"s_{f}") for f in FEATURES])
     spread = {(a, b): F.pow(F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(FLOORS[a])), 2) if a == b else F.lit(0.0) for a, b in _pairs()}
     model = store.write(_with_factor(first, spread), "model0")
     for step in range(1, steps + 1):
-        far = distances(fit, model)
-        mids = store.write(far.groupBy(*keys).agg(F.percentile_approx("d2", 0.5, 1000).alias("d_mid")), f"mids{step}")
-        on = far["lang"].eqNullSafe(mids["lang"]) & far["source"].eqNullSafe(mids["source"])
-        half = far.join(mids, on).drop(mids["lang"]).drop(mids["source"]).filter("d2 <= d_mid")
-        sums = half.groupBy(*keys).agg(
+        far = distances(fit, model, KEYS)
+        mids = store.write(far.groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5, 1000).alias("d_mid")), f"mids{step}")
+        sums = _with_keys(far, mids, KEYS).filter("d2 <= d_mid").groupBy(*KEYS).agg(
             F.count("*").alias("n_half"), *[F.avg(f).alias(f"m_{f}") for f in FEATURES],
             *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in _pairs()])
         # The half nearest to the middle understates the spread; CUTOFF counts in median distances, so the scale cancels.
         cov = {(a, b): F.col(f"c_{a}_{b}") + F.lit(FLOORS[a] ** 2 if a == b else 0.0) for a, b in _pairs()}
         model = store.write(_with_factor(sums, cov), f"model{step}")
-    last = distances(fit, model).groupBy(*keys).agg(F.percentile_approx("d2", 0.5, 1000).alias("d_mid"), F.count("*").alias("n_fit"))
-    on = model["lang"].eqNullSafe(last["lang"]) & model["source"].eqNullSafe(last["source"])
-    return store.write(model.join(last, on).drop(last["lang"]).drop(last["source"]), "model")
+    last = distances(fit, model, KEYS).groupBy(*KEYS).agg(F.percentile_approx("d2", 0.5, 1000).alias("d_mid"), F.count("*").alias("n_fit"))
+    return store.write(_with_keys(model, last, KEYS), "model")
+
+
+def group_models(rows: DataFrame, model: DataFrame, store: TableStore) -> DataFrame:
+    """The model each language and source is judged by: its own, its language's or that of all rows."""
+    values = [c for c in model.columns if c not in KEYS]
+    at = lambda level, name: model.filter((F.col("level") == level) & ((F.col("n_fit") >= SMALL_GROUP) | F.lit(level == 2))).select("lang", "source", F.struct(*values).alias(name))
+    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("_rows"))
+    groups = _with_keys(groups, at(0, "_own"), ["lang", "source"], "left")
+    groups = _with_keys(groups, at(1, "_lang").drop("source"), ["lang"], "left")
+    # One row at most.
+    groups = groups.join(F.broadcast(at(2, "_all").drop("lang", "source")), how="left")
+    return store.write(groups.select("lang", "source", F.coalesce("_own", "_lang", "_all").alias("_m")).select("lang", "source", "_m.*"), "group_models")
 
 
 def judge(docs: DataFrame, store: TableStore, cutoff: float = CUTOFF) -> DataFrame:
     """Statistics, base_failed, d2 and kept of every row of `docs`."""
     rows = store.write(features(statistics(docs)), "statistics")
-    judged = distances(rows, robust_model(rows, store))
-    outlier = (F.col("n_fit") >= SMALL_GROUP) & (F.col("d2") > cutoff * F.greatest(F.col("d_mid"), F.lit(0.2)))
+    judged = distances(rows, group_models(rows, robust_model(rows, store), store), ["lang", "source"])
+    outlier = F.col("d2") > cutoff * F.greatest(F.col("d_mid"), F.lit(0.2))
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False)))
 
 

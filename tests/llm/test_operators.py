@@ -315,6 +315,18 @@ def test_quality_rejects_outliers_and_keeps_clean(spark):
     assert kept[1] > 0.99 and kept[0] < 0.2
 
 
+def test_small_groups_are_judged_by_pooled_estimates(spark):
+    rng = np.random.default_rng(9)
+    fresh = lambda n, end="": " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) + end for _ in range(n))
+    groups = [("en", f"s{k}", 10) for k in range(6)] + [("de", "s0", 3), (None, "s1", 2), ("fr", None, 1)]
+    rows = [(100 * g + i, fresh(int(rng.integers(150, 400))), la, s) for g, (la, s, n) in enumerate(groups) for i in range(n)]
+    bad = {100 * g + 90: (la, s) for g, (la, s, _) in enumerate(groups)}
+    rows += [(i, fresh(200, "#$%&*|<>#$%"), la, s) for i, (la, s) in bad.items()]
+    out = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), TableStore(spark)).collect()}
+    assert len(out) == len(rows) and all(r.d2 is not None and not r.base_failed for r in out.values())
+    assert all(r.kept == (i not in bad) for i, r in out.items())
+
+
 def test_substrings(spark, edges):
     rng = np.random.default_rng(6)
     fresh = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(n))
