@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.arrays import SPACE, blocks, span_hashes
+from skysift.llm.arrays import SPACE, _power_tables, blocks, mix, span_hashes, word_spans
 from skysift.session import TableStore
 
 LAST = (1 << 63) - 1
@@ -31,6 +31,9 @@ MASK_BITS = 3
 MIN_CHUNK, MAX_CHUNK = 16, 1024
 # A run of repeated chunks goes from this many bytes on: some 25 words, what whole chunks leave of 50 repeated words.
 MIN_RUN_BYTES = 140
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 20
+# Anchor hashes that begin in one passage.
+REACH = PASSAGE_WORDS - ANCHOR_WORDS + 1
 
 _GEAR = np.random.default_rng(20240503).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -103,6 +106,113 @@ def repeated_runs(flags: np.ndarray, lengths: np.ndarray, least: int) -> list[tu
     return [(int(upto[a]), int(upto[b])) for a, b in edges.reshape(-1, 2) if upto[b] - upto[a] >= least]
 
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the `size` words from each word on; 0 where the buffer ends before."""
+    out = np.zeros(len(words), np.uint64)
+    if len(words) >= size:
+        power, inverse = _power_tables(len(words) + 1)
+        sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * power[: len(words)], out=sums[1:])
+        n = len(words) - size + 1
+        out[:n] = mix((sums[size:] - sums[:n]) * inverse[:n])
+    return out
+
+
+def sliding(values: np.ndarray, width: int, pick: np.ufunc, step: int) -> np.ndarray:
+    """`pick` over `width` values from each place on (step 1) or up to it (step -1), as far as they go."""
+    out, have = values.copy(), 1
+    while have < width:
+        by = min(have, width - have)
+        before = out.copy()
+        if step > 0:
+            out[:-by] = pick(before[:-by], before[by:])
+        else:
+            out[by:] = pick(before[by:], before[:-by])
+        have += by
+    return out
+
+
+def passages(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word starts, first words of the texts, word hashes, anchor hashes, and whether a whole passage starts at each word."""
+    starts, ends, first = word_spans(buf, offs)
+    hashed = span_hashes(buf, starts, ends)
+    rest = np.repeat(first[1:], np.diff(first)) - np.arange(len(starts))
+    return starts, first, hashed, run_hashes(hashed, ANCHOR_WORDS), rest >= PASSAGE_WORDS
+
+
+def anchor_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_key, doc, anchors and those that come again in the text, for texts of PASSAGE_WORDS words and more."""
+    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), docs[text_col].alias("text"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, buf, offs in blocks(batch.column(2)):
+                _, first, _, anchors, whole = passages(buf, offs)
+                least = np.where(whole, sliding(anchors, REACH, np.minimum, 1), np.uint64(0)) if len(anchors) else anchors
+                chosen = (sliding(least, REACH, np.maximum, -1) == anchors) & (anchors > 0) if len(anchors) else np.zeros(0, bool)
+                every, again = [], []
+                for a, b in zip(first[:-1], first[1:], strict=True):
+                    own, n = np.unique(anchors[a:b][chosen[a:b]], return_counts=True)
+                    every.append(own.view(np.int64))
+                    again.append(own[n > 1].view(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(every, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.int64()))],
+                                                 names=["row_key", "doc", "anchors", "again"])
+
+    return rows.mapInArrow(work, "row_key long, doc long, anchors array<long>, again array<long>").filter("size(anchors) > 0")
+
+
+def repeated_passages(docs: DataFrame, store: TableStore) -> DataFrame:
+    """row_key and the byte bounds (begin, end) of its passages that occur in documents before, or before in its own text."""
+    found = store.write(anchor_table(docs), "anchors")
+    each = found.select("row_key", "doc", F.explode("anchors").alias("anchor"))
+    common = each.groupBy("anchor").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).filter("_first < _last").select("anchor")
+    common = store.write(common, "common_anchors")
+    near = each.join(common, "anchor").select("row_key", "anchor").union(found.select("row_key", F.explode("again").alias("anchor")))
+    near = near.groupBy("row_key").agg(F.collect_set("anchor").alias("near"))
+    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), "text")
+    texts = texts.join(near, "row_key").select("row_key", "doc", "text", "near")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near_of = batch.column(3)
+            for i, j, buf, offs in blocks(batch.column(2)):
+                starts, first, hashed, anchors, whole = passages(buf, offs)
+                runs = run_hashes(hashed, PASSAGE_WORDS)
+                hashes, begins, ends, again = [], [], [], []
+                for t in range(j - i):
+                    a, b = int(first[t]), int(first[t + 1])
+                    hit = np.isin(anchors[a:b], near_of[i + t].values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    at = np.flatnonzero(sliding(hit, REACH, np.logical_or, 1) & whole[a:b])
+                    own = runs[a:b][at]
+                    _, earliest, back = np.unique(own, return_index=True, return_inverse=True)
+                    bounds = np.append(starts[a:b], offs[t + 1]) - offs[t]
+                    hashes.append(own.view(np.int64))
+                    begins.append(bounds[at].astype(np.int32))
+                    ends.append(bounds[at + PASSAGE_WORDS].astype(np.int32))
+                    again.append(at - at[earliest[back]] >= PASSAGE_WORDS)  # the first one stays whole
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(hashes, pa.list_(pa.int64())), pa.array(begins, pa.list_(pa.int32())),
+                     pa.array(ends, pa.list_(pa.int32())), pa.array(again, pa.list_(pa.bool_()))], names=["row_key", "doc", "hashes", "begins", "ends", "again"])
+
+    wide = store.write(texts.mapInArrow(work, "row_key long, doc long, hashes array<long>, begins array<int>, ends array<int>, again array<boolean>"), "passages")
+    firsts = wide.select("doc", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).filter("first_doc < _last")
+    firsts = store.write(firsts.select("hash", "first_doc"), "common_passages")
+    one = wide.select("row_key", "doc", F.explode(F.arrays_zip("hashes", "begins", "ends", "again")).alias("x")).select("row_key", "doc", F.col("x.hashes").alias("hash"), F.col("x.begins").alias("begin"), F.col("x.ends").alias("end"), F.col("x.again").alias("again"))
+    later = one.join(firsts, "hash").filter("doc > first_doc").select("row_key", "begin", "end")
+    return later.union(one.filter("again").select("row_key", "begin", "end"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, with those that meet made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def drop_repeats(docs: DataFrame, store: TableStore, least: int = MIN_RUN_BYTES) -> DataFrame:
     """doc_id, the text without repeated runs, n_chars of it, n_chunks, n_repeated, cut (byte spans), for each row of `docs`."""
     table = store.write(chunk_table(docs), "chunks")
@@ -112,17 +222,22 @@ def drop_repeats(docs: DataFrame, store: TableStore, least: int = MIN_RUN_BYTES)
     each = table.select("row_key", "doc", F.posexplode("digests").alias("pos", "digest"))
     later = each.join(shared, "digest").filter("doc > first_doc").select("row_key", "pos").distinct()
     flagged = later.groupBy("row_key").agg(F.collect_list("pos").alias("places"))
-    marked = table.dropDuplicates(["row_key"]).join(flagged, "row_key", "left")
-    marked = marked.filter("places is not null or exists(again, x -> x)").select("row_key", "places", "lengths", "again")
+    found = repeated_passages(docs, store).groupBy("row_key").agg(F.collect_set(F.struct("begin", "end")).alias("_found"))
+    found = found.select("row_key", F.col("_found.begin").alias("begins"), F.col("_found.end").alias("ends"))
+    marked = table.dropDuplicates(["row_key"]).join(flagged, "row_key", "left").join(found, "row_key", "left")
+    marked = marked.filter("places is not null or begins is not null or exists(again, x -> x)").select("row_key", "places", "lengths", "again", "begins", "ends")
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, counts = [], []
-            for places, lengths, again in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+            for places, lengths, again, begins, ends in zip(*(batch.column(k) for k in range(1, 6)), strict=True):
                 flags = np.asarray(again.values.to_numpy(zero_copy_only=False), bool).copy()
                 if places.is_valid:
                     flags[places.values.to_numpy()] = True
-                out.append([x for span in repeated_runs(flags, lengths.values.to_numpy(), least) for x in span])
+                own = repeated_runs(flags, lengths.values.to_numpy(), least)
+                if begins.is_valid:
+                    own += zip(begins.as_py(), ends.as_py(), strict=True)
+                out.append([x for span in merged(own) for x in span])
                 counts.append(int(flags.sum()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(counts, pa.int64())], names=["_row_key", "cut", "n_repeated"])
 

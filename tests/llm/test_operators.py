@@ -341,6 +341,22 @@ def test_substrings(spark, edges):
     assert len(again) == edges.count()
 
 
+def test_passages_of_51_words_always_go(spark):
+    rows, want = [], {}
+    for seed in range(200):
+        rng = np.random.default_rng(1000 + seed)
+        fresh = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(n))  # noqa: E731, B023
+        passage, head, tail = fresh(51), fresh(int(rng.integers(0, 80))), fresh(int(rng.integers(1, 80)))
+        rows += [(10 * seed, f"{fresh(30)} {passage} {fresh(20)}"), (10 * seed + 1, f"{head} {passage} {tail}".strip())]
+        want[10 * seed + 1] = f"{head} {tail}".strip()
+        twice, end = fresh(51), fresh(9)
+        rows.append((10 * seed + 2, f"{twice} {fresh(5)} {twice} {end}"))
+        want[10 * seed + 2] = rows[-1][1][: -len(f"{twice} {end}")] + end
+    out = {r.doc_id: r for r in substring_dedup.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string"), TableStore(spark)).collect()}
+    texts = dict(rows)
+    assert all(out[i].text == want.get(i, texts[i]) for i in texts)
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(7)
     text = " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(2000)).encode()
