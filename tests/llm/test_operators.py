@@ -288,6 +288,39 @@ def test_licenses(spark, documents):
     assert len(licenses.rules()) > 300
 
 
+def sample_of(pattern):
+    """A shortest text the pattern matches."""
+    def one(parts):
+        out = ""
+        for op, arg in parts:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                out += chr(arg[0][1])
+            elif name == "BRANCH":
+                out += one(arg[1][0])
+            elif name == "SUBPATTERN":
+                out += one(arg[3])
+            elif name == "MAX_REPEAT":
+                out += one(arg[2]) * arg[0]
+            else:
+                assert name == "ASSERT", name
+        return out
+    return one(re._parser.parse(pattern)).strip()
+
+
+def test_each_license_rule_finds_its_sample_also_wrapped(spark):
+    rules = licenses.rules()
+    samples = [sample_of(pattern) for _, pattern, *_ in rules]
+    assert all(f" {keyword}" in f" {x}" for (keyword, *_), x in zip(rules, samples, strict=True))
+    ways = [lambda x: f"Some {x} here", lambda x: "/* see\n * " + x.replace(" ", "\n * ") + "\n */", lambda x: x.replace(" ", "-"), lambda x: x.upper().replace(" ", "  ")]
+    rows = [(len(ways) * i + k, way(x)) for i, x in enumerate(samples) for k, way in enumerate(ways)]
+    out = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [(rows[i][1], rules[i // len(ways)][2], got) for i, got in out.items() if rules[i // len(ways)][2] not in got]
+    assert not missed, missed[:10]
+
+
 def statistics_by_hand(text):
     w = words(text)
     windows = Counter(zip(w, w[1:], w[2:], strict=False))
