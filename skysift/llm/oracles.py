@@ -44,3 +44,85 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN place <= (SELECT 10 * count(*) // 100 FROM placed) THEN place END AS rank
 FROM scored LEFT JOIN placed USING (doc_id)
 """
+
+
+def _more(value: str, cost: str, edit: str) -> str:
+    """A state's value, its cost in nine digits before its audit, after one more edit."""
+    return f"(lpad((({value})[1:9]::BIGINT + {cost})::VARCHAR, 9, '0') || ({value})[10:] || '{edit}')"
+
+
+def _inserted(v: list[str]) -> list[str]:
+    """The values of the four states once any number of rows may be inserted."""
+    user = f"least({', '.join([v[2], _more(v[0], '3', 'I'), _more(v[1], '3', 'I'), _more(v[3], '3', 'I')])})"
+    assistant = f"least({', '.join([v[3], _more(v[2], '3', 'I'), _more(_more(v[0], '3', 'I'), '3', 'I'), _more(_more(v[1], '3', 'I'), '3', 'I')])})"
+    return [v[0], v[1], user, assistant]
+
+
+def _after_row(v: list[str]) -> list[str]:
+    late = "CASE WHEN r.fault = 3 THEN 3 ELSE 0 END"
+
+    def to(state: int, sources: list[int], initial: str, rerole: bool) -> str:
+        found = [_more(v[state], "4", "D")]
+        for s in sources:
+            found.append(f"CASE WHEN r.fault NOT IN (1, 2) AND r.initial = '{initial}' THEN {_more(v[s], late, 'K')} END")
+            if rerole:
+                found.append(f"CASE WHEN r.fault NOT IN (1, 2) THEN {_more(v[s], '3 + ' + late, 'R')} END")
+        return f"least({', '.join(found)})"
+
+    return [to(0, [], "", False), to(1, [0], "s", False), to(2, [0, 1, 3], "u", True), to(3, [2], "a", True)]
+
+
+_STATES = [f"v{k}" for k in range(4)]
+_BEFORE = [f"i{k}" for k in range(4)]
+
+# The cheapest edits row by row, forwards; the query itself parses spans.
+OP13_REPAIR = f"""
+WITH RECURSIVE {CRC_TABLE},
+keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS d
+  FROM conversations, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM keyed, range(2) c(copy) WHERE d <> 0 AND (copy = 0 OR d = 3)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen,
+         lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM ordered),
+faults AS MATERIALIZED (
+  SELECT *, role[1:1] AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN seen > 1 THEN 2
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault
+  FROM numbered),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+         count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id),
+steps(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, 0::BIGINT, '000000000', NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR FROM counts
+  UNION ALL
+  SELECT b.conv_id, r.i, {", ".join(_after_row(_BEFORE))}
+  FROM (SELECT conv_id, i, {", ".join(f"{x} AS {n}" for x, n in zip(_inserted(_STATES), _BEFORE, strict=True))} FROM steps) b
+  JOIN faults r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.i = b.i + 1),
+ends AS (
+  SELECT s.conv_id, least(v0, {_inserted(_STATES)[3]}) AS v FROM steps s JOIN counts c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n),
+audits AS (SELECT conv_id, v[1:9]::BIGINT AS cost, v[10:] AS audit FROM ends),
+edits AS (SELECT conv_id, audit, k, audit[k:k] AS e FROM audits, unnest(range(1, length(audit) + 1)) AS x(k)),
+placed AS (
+  SELECT *, sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER w AS i, sum(CASE WHEN e <> 'D' THEN 1 ELSE 0 END) OVER w AS o,
+         length(replace(audit, 'D', '')) % 2 AS has_system
+  FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+lines AS (
+  SELECT p.conv_id, p.k, CASE WHEN e = 'K' THEN f.role WHEN (o - has_system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' ||
+         CASE WHEN e = 'I' THEN '' ELSE f.text END AS line
+  FROM placed p LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i WHERE e <> 'D'),
+hashes AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY k)) AS h FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN audits a ON a.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN hashes s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+"""

@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import importance, licenses, line_dedup, materialise, mixing, near_dedup, neighbours, oracles, packing, pages, quality, substring_dedup
+from skysift.llm import importance, licenses, line_dedup, materialise, mixing, near_dedup, neighbours, oracles, packing, pages, quality, repair, substring_dedup
 from skysift.session import TableStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op12_importance": oracles.OP12_IMPORTANCE}
+ORACLES: dict[str, str] = {"op12_importance": oracles.OP12_IMPORTANCE, "op13_repair": oracles.OP13_REPAIR}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -92,3 +92,9 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), TableStore(spark))
+
+
+@query
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.report(conversations, repair.damaged(conversations), TableStore(spark))
