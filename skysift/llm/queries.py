@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skysift.llm import importance, licenses, line_dedup, materialise, mixing, near_dedup, neighbours, oracles, packing, pages, quality, repair, substring_dedup
+from skysift.llm import bin_swaps, importance, licenses, line_dedup, materialise, mixing, near_dedup, neighbours, oracles, packing, pages, quality, repair, substring_dedup
 from skysift.session import TableStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_vocabulary() -> str:
+    """Path of the byte-level vocabulary file; $BYTE_VOCABULARY_FILE names another one."""
+    named = os.environ.get("BYTE_VOCABULARY_FILE")
+    if named:
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,6 +99,11 @@ def op10_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"), TableStore(spark))
 
 
+@query
+def op11_bin_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_swaps.pack(table(spark, sf_dir, "documents"), byte_vocabulary(), TableStore(spark))
+
+
 @query
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), TableStore(spark))
