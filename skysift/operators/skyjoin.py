@@ -7,21 +7,14 @@ position match nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from skysift.functions import sky
-from skysift.operators.ordering import first_in, stacked, top_in
-from skysift.session import TableStore
-
-# Distinct right positions in a cell from which its left rows are settled apart.
-CROWD = 64
-
-# Smaller radii tried at most; the smallest is then a millionth of the radius.
-MAX_LEVELS = 10
+from skysift.operators import skypyramid
 
 RADIUS_OLD, RADIUS_NEW = 10.0, 3.0  # fixed values: label radii in arc seconds
 
@@ -85,7 +78,7 @@ def best_in_cone(
     left: DataFrame,
     right: DataFrame,
     radius_arcsec: float,
-    order: list[Column] | None = None,
+    order: list[tuple[Column | str, bool]] | None = None,
     *,
     left_id: str = "id",
     right_id: str = "id",
@@ -93,81 +86,23 @@ def best_in_cone(
     right_pos: tuple[str, str] = ("ra", "dec"),
     keep: Sequence[str] = (),
     left_keep: Sequence[str] = (),
-    spread: str = "left",
-    crowd: int | None = CROWD,
-    store: TableStore | None = None,
 ) -> DataFrame:
-    """First right row in `order` within the radius of each left row, the nearest by default.
+    """First right row within the radius of each left row: the nearest, or the first in `order`; the smallest id wins a tie.
 
-    Gives left_id, right_id, sep and the kept columns of both sides; `order` may
-    use right_id and `keep`. Right rows at one position cannot differ in distance,
-    so only the first of them is joined and a place that holds a large share of
-    the right side costs one row. Left copies of a place only meet those few rows,
-    and each task keeps one candidate per left row before it shuffles.
-
-    Cells with more than `crowd` distinct right positions are found first, by one
-    aggregation. Left rows that reach such a cell are settled apart, so that no
-    cell is joined with all its pairs; without such cells nothing more is run.
+    Gives left_id, right_id, sep and the kept columns of both sides. `order` is (column, descending) pairs
+    over `keep` columns; a descending column must be a number, null values come last in either direction.
     """
-    height = sky.zone_height(radius_arcsec)
     a = _placed(left, left_id, *left_pos, left_keep, "left")
-    b = _placed(right, right_id, *right_pos, keep, "right")
-    outputs = ["left_id", "right_id", "sep", *keep, *left_keep]
-    nearest = order is None
-    order = order or [F.col("sep"), F.col("right_id")]
-    if nearest and not keep:
-        b = b.groupBy("right_ra", "right_dec").agg(F.min("right_id").alias("right_id"))
-    else:
-        b = first_in(b.withColumn("sep", F.lit(0.0)), ["right_ra", "right_dec"], order).drop("sep")
-
-    def settle(rows: DataFrame, radius: float, side: str = spread) -> DataFrame:
-        h = sky.zone_height(radius)
-        if side == "left":
-            pairs = _near_pairs(_spread(rows, "left", radius, h), _homed(b, "right", h), radius)
-        else:
-            pairs = _near_pairs(_homed(rows, "left", h), _spread(b, "right", radius, h), radius)
-        return first_in(pairs.select(*outputs), ["left_id"], order)
-
-    if crowd is None:
-        return settle(a, radius_arcsec)
-    cells = _homed(b, "right", height).groupBy("_zone", "_c").agg(F.count("*").alias("_n"))
-    crowded = cells.filter(F.col("_n") > crowd)
-    fullest = crowded.agg(F.max("_n")).first()[0]
-    if fullest is None:
-        return settle(a, radius_arcsec)
-    store = store or TableStore(left.sparkSession)
-    tag = uuid.uuid4().hex[:8]
-    reach = _spread(a, "left", radius_arcsec, height).join(crowded, ["_zone", "_c"], "left_semi").select("left_id").distinct()
-    reach = store.write(reach, f"{tag}-reach")
-    todo = store.write(a.join(reach, "left_id", "left_semi"), f"{tag}-todo")
-    found = [settle(a.join(reach, "left_id", "left_anti"), radius_arcsec)]
-    if nearest:
-        # A row with a neighbour within a smaller radius has its nearest one there, so a crowd is
-        # settled in small cells and only the rest goes on to the next radius, four times as large.
-        dense = _homed(b, "right", height).join(crowded, ["_zone", "_c"], "left_semi").drop("_zone", "_c")
-        dense = store.write(dense.select("right_ra", "right_dec"), f"{tag}-dense")
-        levels = 0
-        while fullest > crowd and levels < MAX_LEVELS:
-            levels += 1
-            small = _homed(dense, "right", sky.zone_height(radius_arcsec / 4**levels))
-            fullest = small.groupBy("_zone", "_c").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
-        for level in range(levels, 0, -1):
-            found.append(store.write(settle(todo, radius_arcsec / 4**level), f"{tag}-radius{level}"))
-            todo = store.write(todo.join(found[-1], "left_id", "left_anti"), f"{tag}-todo{level}")
-        found.append(settle(todo, radius_arcsec))
-    else:
-        # The first rows of each cell in `order` come first: who meets one of them needs no other.
-        whole = _spread(b, "right", radius_arcsec, height).withColumn("sep", F.lit(0.0))
-        heads = top_in(whole, ["_zone", "_c"], order, crowd).drop("sep", "_rank")
-        pairs = _near_pairs(_homed(todo, "left", height), heads, radius_arcsec)
-        found.append(store.write(first_in(pairs.select(*outputs), ["left_id"], order), f"{tag}-heads"))
-        found.append(settle(todo.join(found[-1], "left_id", "left_anti"), radius_arcsec, "right"))
-    return stacked(found)
-
-
-def _near_pairs(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
-    near = (a["_zone"] == b["_zone"]) & (a["_c"] == b["_c"]) & (_separation() <= radius)
-    return a.join(b, near).withColumn("sep", _separation())
+    b = _placed(right, right_id, *right_pos, keep, "right").withColumnsRenamed({"right_ra": "ra", "right_dec": "dec"})
+    keys = []
+    for k, (column, descending) in enumerate(order or []):
+        column = F.col(column) if isinstance(column, str) else column
+        if descending and not isinstance(b.select(column.alias("k")).schema["k"].dataType, NumericType):
+            raise ValueError("a descending order needs a number")
+        keys += [column.isNull().alias(f"n{k}"), (-column if descending else column).alias(f"k{k}")]
+    b = b.select("ra", "dec", F.struct(*keys, "right_id").alias("order"), F.struct("right_id", *keep).alias("values"))
+    return skypyramid.search(a, b, radius_arcsec, order is None, list(left_keep)).select(
+        "left_id", "values.right_id", "sep", *[f"values.{c}" for c in keep], *left_keep)
 
 
 def sky_nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, **names) -> DataFrame:
@@ -184,8 +119,9 @@ def label_by_truth(
     Truth needs ordinal, ra, dec, class.
     """
     named = sky_nearest(truth, images, radius_arcsec, left_id=ordinal, right_id=id_col, left_keep=["class"])
-    last = first_in(named, ["right_id"], [F.col("left_id").desc()])
-    return last.select(F.col("right_id").alias(id_col), F.trim("class").alias("classification"))
+    # Grouped by the image, so that Spark knows there is one label each and leaves a join with them out where none is used.
+    last = named.groupBy(F.col("right_id").alias(id_col)).agg(F.max_by("class", "left_id").alias("class"))
+    return last.select(id_col, F.trim("class").alias("classification"))
 
 
 def labeled_records(images: DataFrame, labels: DataFrame, *, id_col: str = "id") -> DataFrame:
@@ -213,8 +149,8 @@ def relabel(
     old labels, those the old radius does not give again, those kept and demoted.
     """
     named = sky_nearest(truth, results, old_radius, left_id=ordinal, right_id=id_col, left_keep=["class"])
-    best = first_in(named, ["right_id"], [F.col("sep"), F.col("left_id")]).select(
-        F.col("right_id").alias(id_col), F.col("sep").alias("_sep"), F.trim("class").alias("_class")
+    best = named.groupBy(F.col("right_id").alias(id_col)).agg(F.min(F.struct("sep", "left_id", "class")).alias("_best")).select(
+        id_col, F.col("_best.sep").alias("_sep"), F.trim("_best.class").alias("_class")
     )
     joined = results.withColumnRenamed("interesting", "_was").join(best, id_col, "left")
     inside = F.col("_sep").isNotNull() & (F.col("_sep") <= new_radius)
@@ -237,7 +173,7 @@ def nearest_mention(
     """Nearest resolved mention of each image with its name, link and summary."""
     named = best_in_cone(
         images, mentions, radius_arcsec, left_id=id_col, right_id="mention_id",
-        right_pos=("resolved_ra_deg", "resolved_dec_deg"), keep=["resolved_name", "ned_object_name"], spread="right",
+        right_pos=("resolved_ra_deg", "resolved_dec_deg"), keep=["resolved_name", "ned_object_name"],
     ).withColumnRenamed("right_id", "mention_id")
     name = F.coalesce(
         F.when(F.col("resolved_name") != "", F.col("resolved_name")),
@@ -259,8 +195,8 @@ def most_referenced(images: DataFrame, objects: DataFrame, radius_arcsec: float
     """Most-referenced object in the cone of each image; no count is 0, ties go to the smallest oid."""
     counted = objects.withColumn("ref_count", F.coalesce("nbref", F.lit(0)))
     best = best_in_cone(
-        images, counted, radius_arcsec, [F.col("ref_count").desc(), F.col("right_id")],
-        left_id=id_col, right_id="oid", keep=["main_id", "otype", "ref_count"], spread="right",
+        images, counted, radius_arcsec, [("ref_count", True)],
+        left_id=id_col, right_id="oid", keep=["main_id", "otype", "ref_count"],
     )
     return best.select(F.col("left_id").alias(id_col), F.col("right_id").alias("oid"),
                        F.col("main_id").alias("object_name"), F.col("otype").alias("object_type"), "ref_count")

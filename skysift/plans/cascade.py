@@ -62,7 +62,7 @@ def cascade(
         else:
             best = left.orderBy(F.col(score).desc(), F.col(id_col)).limit(cat.top_n).select(id_col, F.lit(1).alias(flag))
             todo = left.join(best, id_col, "left").fillna(0, [flag])
-        found = _matches(todo.filter(F.col(flag) == 1), cat, id_col, store)
+        found = _matches(todo.filter(F.col(flag) == 1), cat, id_col)
         step = todo.drop("matched_source", *MATCH_COLUMNS).join(found, id_col, "left")
         step = store.write(step, f"step{n}")
         hits = step.filter(F.col("matched_source").isNotNull())
@@ -72,16 +72,15 @@ def cascade(
     return matched, left.drop("matched_source", *MATCH_COLUMNS)
 
 
-def _matches(items: DataFrame, cat: Catalog, id_col: str, store: TableStore) -> DataFrame:
+def _matches(items: DataFrame, cat: Catalog, id_col: str) -> DataFrame:
     """One chosen catalog row per item: the item's id and the match columns."""
     filled = [cat.columns.get(c, F.lit(None)).cast(t).alias(f"_m_{c}") for c, t in MATCH_COLUMNS.items()]
     order = [] if cat.pick == "nearest" else cat.pick
     ranks = [(F.col(c) if isinstance(c, str) else c).alias(f"_o{i}") for i, (c, _) in enumerate(order)]
     side = cat.df.select(F.col(cat.id_col).alias("_cat"), "ra", "dec", *filled, *ranks)
-    by = [F.col(f"_o{i}").desc() if down else F.col(f"_o{i}") for i, (_, down) in enumerate(order)]
+    by = [(f"_o{i}", down) for i, (_, down) in enumerate(order)]
     best = best_in_cone(
-        items, side, cat.radius, [*by, F.col("right_id")] if by else None,
-        left_id=id_col, right_id="_cat", keep=side.columns[3:], spread="right", store=store,
+        items, side, cat.radius, by or None, left_id=id_col, right_id="_cat", keep=side.columns[3:],
     )
     return best.select(
         F.col("left_id").alias(id_col), F.lit(cat.name).alias("matched_source"),

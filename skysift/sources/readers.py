@@ -118,6 +118,14 @@ def read_results(
     return rows, files.join(meta, "file", "left")
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """Rows of files that have a truth column; a file without one says nothing about its images.
+
+    A cell that is there but can't be read as a yes is a no.
+    """
+    return rows.filter(F.col("truth").isNotNull())
+
+
 def last_rows(rows: DataFrame) -> DataFrame:
     """One row per image and file: the last one."""
     return first_in(rows, ["file", "image"], [F.col("ordinal").desc()])
@@ -154,7 +162,7 @@ def read_subjects(spark: SparkSession, path: str, *, drop_malformed: bool = Fals
     """Volunteer subject table with its row order."""
     mode = "DROPMALFORMED" if drop_malformed else "PERMISSIVE"
     rows = spark.read.csv(path, schema=schemas.VOLUNTEER_SUBJECTS, header=True, mode=mode, quote='"', escape='"')
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    return rows.select("*", F.struct(*_file_order()).alias("ordinal"))
 
 
 def read_consensus(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,19 @@ def write_cascade(matched: DataFrame, unmatched: DataFrame, bibliographies: dict
         writer.save(f"{path}/{name}")
 
 
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a sorted parquet table with `place`, from 0: how many rows its files hold before each one.
+
+    A sorted table is range-partitioned: its files follow each other by name, and the rows of a file
+    keep their order. Files are counted, not rows moved.
+    """
+    rows = spark.read.parquet(path).withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")})
+    sizes = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(starts, "_file").withColumn("place", F.col("_start") + F.col("_at")).drop("_file", "_at", "_start")
+
+
 def append_log(log: DataFrame, path: str) -> None:
     """Judgments of one or more rounds, added to those there; one folder per run and round."""
     log.write.mode("append").partitionBy("run", "round").parquet(path)

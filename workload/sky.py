@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skysift.operators import matching, skyjoin, views as report
 from skysift.plans.cascade import Catalog, cascade
+from skysift.session import TableStore
 from workload import views
 from workload.registry import r6, register
 from workload.views import SEP, with_views
@@ -42,7 +43,8 @@ RELABEL = LABELS + """, best AS (SELECT * FROM hits QUALIFY row_number() OVER (P
 def _relabel(spark, sf):
     images = views.images(spark, sf)
     labels = skyjoin.label_by_truth(images, views.truth(spark, sf), 10.0)
-    old = skyjoin.labeled_records(images, labels)
+    # Results to be labelled anew are stored ones.
+    old = TableStore(spark).write(skyjoin.labeled_records(images, labels), "results")
     return skyjoin.relabel(old, views.truth(spark, sf), 10.0, 1.0)
 
 
@@ -60,6 +62,29 @@ def sky_relabel_audit(spark, sf):
     return _relabel(spark, sf)[1]
 
 
+def _field(table, key, prime, steps_ra, steps_dec, more=""):
+    def at(start, steps):
+        return (f"({start} + CASE WHEN {key} % 3 = 0 THEN 50000000 + {key} * {steps} % {prime} ELSE {key} * {steps} % {prime} * 10000 END"
+                " / 34000000000.0::DOUBLE)")
+    return f"(SELECT {key} AS id, {at('150.0::DOUBLE', steps_ra)} AS ra, {at('-30.0::DOUBLE', steps_dec)} AS dec{more} FROM {table})"
+
+
+FIELD = f"""field AS (SELECT i.id, o.id AS oid, o.nbref, {SEP.format(a='i', b='o')} AS sep FROM {_field("customer", "c_custkey", 10007, 7919, 3571)} i,
+    {_field("part", "p_partkey", 9973, 6131, 7873, ", p_size AS nbref")} o)"""
+
+
+@register("field_nearest", f"""WITH {FIELD} SELECT id, arg_min(oid, sep) AS oid, round(min(sep), 6) AS sep FROM field WHERE sep <= 3 GROUP BY id""")
+def field_nearest(spark, sf):
+    near = skyjoin.sky_nearest(views.field_images(spark, sf), views.field_objects(spark, sf), 3.0, right_id="oid")
+    return near.select(F.col("left_id").alias("id"), F.col("right_id").alias("oid"), F.round("sep", 6).alias("sep"))
+
+
+@register("field_best", f"""WITH {FIELD} SELECT id, arg_min(oid, (-nbref, oid)) AS oid, max(nbref) AS nbref FROM field WHERE sep <= 0.5 GROUP BY id""")
+def field_best(spark, sf):
+    best = skyjoin.best_in_cone(views.field_images(spark, sf), views.field_objects(spark, sf), 0.5, [("nbref", True)], right_id="oid", keep=["nbref"])
+    return best.select(F.col("left_id").alias("id"), F.col("right_id").alias("oid"), "nbref")
+
+
 CONE = f"""cone AS (SELECT i.id, o.oid, o.main_id, o.otype, coalesce(o.nbref, 0) AS nbref, {SEP.format(a='i', b='o')} AS sep
     FROM v_images i, v_objects o WHERE abs(i.dec - o.dec) < 0.01)"""
 

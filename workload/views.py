@@ -311,3 +311,25 @@ def with_views(body: str, *names: str, more: str = "") -> str:
     if more:
         parts.append(more.strip())
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+
+
+# A field of thousands of positions inside one cell of the sky, a third of them in a knot of some millionths of a degree.
+FIELD_RA, FIELD_DEC = 150.0, -30.0
+
+
+def _in_field(k, prime, steps_ra, steps_dec):
+    """Whole-number steps across the field; every third position lies in the knot."""
+    knot = k % 3 == 0
+    across = F.when(knot, 50000000 + k * steps_ra % prime).otherwise(k * steps_ra % prime * 10000)
+    up = F.when(knot, 50000000 + k * steps_dec % prime).otherwise(k * steps_dec % prime * 10000)
+    return (FIELD_RA + across / 34000000000.0).alias("ra"), (FIELD_DEC + up / 34000000000.0).alias("dec")
+
+
+def field_images(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf, "customer").select(k.alias("id"), *_in_field(k, 10007, 7919, 3571))
+
+
+def field_objects(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(k.alias("oid"), *_in_field(k, 9973, 6131, 7873), F.col("p_size").alias("nbref"))
