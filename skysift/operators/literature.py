@@ -91,17 +91,45 @@ def alias_keys(aliases: DataFrame) -> DataFrame:
     return aliases.join(keys, "alias").select("object_name", "key").distinct()
 
 
-def name_hits(papers: DataFrame, aliases: DataFrame) -> DataFrame:
+# Texts of one object that meet its keys in one task, and keys of one object that meet a text there.
+TEXTS_PER_SHARE, KEYS_PER_SHARE = 2048, 4096
+
+
+def name_hits(papers: DataFrame, aliases: DataFrame, texts_per_share: int = TEXTS_PER_SHARE, keys_per_share: int = KEYS_PER_SHARE) -> DataFrame:
     """(object_name, bibcode) of papers whose title or abstract names the object.
 
     Papers hold object_name, bibcode, title, abstract. Each distinct text is
-    normalised once; the substring test runs inside a semi join on the object,
-    which stops at the first key found.
+    normalised once; the substring test runs inside a semi join, which stops at the
+    first key found. The texts of an object are dealt over shares, as many as its
+    number of texts asks for, and its keys over parts, so that an object that holds a
+    third of all papers or keys spreads over many tasks; every share meets every part.
     """
     body = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")))
     texts = papers.select("object_name", "bibcode", text.normalize_text(body).alias("_text"))
     keys = alias_keys(aliases).select(F.col("object_name").alias("_object"), "key")
-    hit = (texts["object_name"] == keys["_object"]) & texts["_text"].contains(keys["key"])
+
+    def deal(n: str, most: int) -> Column:
+        return F.ceil(F.col(n) / most).cast("int")
+
+    # Only objects beyond one share or part have a row here, which is none but in hot cases.
+    many = papers.groupBy("object_name").agg(F.count("*").alias("_n")).filter(F.col("_n") > texts_per_share)
+    wide = keys.groupBy("_object").agg(F.count("*").alias("_k")).filter(F.col("_k") > keys_per_share)
+    sizes = many.join(wide, many["object_name"] == wide["_object"], "full").select(
+        F.coalesce("object_name", "_object").alias("_hot"), F.coalesce(deal("_n", texts_per_share), F.lit(1)).alias("_shares"),
+        F.coalesce(deal("_k", keys_per_share), F.lit(1)).alias("_parts"))
+
+    def dealt(df: DataFrame, name: str, mine: str, own: Column, other: str) -> DataFrame:
+        """Each row under its own share or part, once for each of the other side's."""
+        found = df.join(sizes, df[name] == sizes["_hot"], "left").fillna(1, ["_shares", "_parts"])
+        at = F.pmod(F.xxhash64(own), F.col(f"_{mine}s")).cast("int").alias(f"_{mine}")
+        return found.select(*df.columns, at, F.explode(F.sequence(F.lit(0), F.col(f"_{other}s") - 1)).alias(f"_{other}"))
+
+    texts = dealt(texts, "object_name", "share", F.col("bibcode"), "part")
+    keys = dealt(keys, "_object", "part", F.col("key"), "share").withColumnsRenamed({"_share": "_s", "_part": "_p"})
+    hit = (
+        (texts["object_name"] == keys["_object"]) & (texts["_share"] == keys["_s"]) & (texts["_part"] == keys["_p"])
+        & texts["_text"].contains(keys["key"])
+    )
     return texts.join(keys, hit, "left_semi").select("object_name", "bibcode").distinct()
 
 

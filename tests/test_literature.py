@@ -185,3 +185,14 @@ def test_apply_verdicts_and_views(spark):
     c = views.report_counters(rows, biblio).first()
     assert (c["total"], c["unidentified"], c["matched"], c["reclassified"], c["with_bibliography"], c["max_score"]) == (6, 3, 3, 1, 1, 5.0)
     assert views.by_references(rows.withColumn("ref_count", F.length("filename")), id_col="filename").first()["filename"] == "m1"
+
+
+def test_name_hits_of_a_hot_object_are_dealt_over_shares(spark):
+    texts = [("hot", f"b{i}", f"Survey {i}", f"We find NGC {1000 + i} bright.") for i in range(60)] + [("cold", "c1", "NGC 1001", None), (None, "n", "NGC 1002", "")]
+    names = [("hot", f"NGC {1000 + i}") for i in range(0, 60, 3)] + [("cold", "NGC 1001"), ("other", "NGC 1003")]
+    papers = spark.createDataFrame(texts, "object_name string, bibcode string, title string, abstract string")
+    aliases = spark.createDataFrame(names, "object_name string, alias string")
+    want = {("hot", f"b{i}") for i in range(0, 60, 3)} | {("cold", "c1")}
+    for shares, parts in ((2048, 4096), (7, 3), (1, 1)):
+        got = literature.name_hits(papers, aliases, shares, parts).collect()
+        assert sorted(map(tuple, got)) == sorted(want)

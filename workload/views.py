@@ -197,12 +197,12 @@ def text_papers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_aliases(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages an object may be quoted by: benchmark items, and the opening of its first document."""
+    """Passages an object may be quoted by: whole benchmark items, and the whole first line of its first document."""
     passages = table(spark, sf, "benchmark").select(
         F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("object_name"), F.col("text").alias("alias"))
     docs = table(spark, sf, "documents")
     first = docs.groupBy("source").agg(F.min_by("text", "doc_id").alias("text"))
-    return passages.union(first.select("source", F.substring("text", 1, 24))).distinct()
+    return passages.union(first.select("source", F.split_part("text", F.lit("\n"), F.lit(1)))).distinct()
 
 
 def coordinate_names(spark: SparkSession, sf: str) -> DataFrame:
@@ -293,7 +293,7 @@ SQL = {
         max(l_linestatus) AS title, max(l_returnflag) AS matched_alias, min(l_orderkey) AS seq FROM lineitem
         WHERE l_returnflag = 'R' GROUP BY l_partkey, l_orderkey + l_linenumber % 2""",
     "v_text_aliases": """SELECT 'src' || (item_id % 20) AS object_name, text AS alias FROM benchmark
-        UNION SELECT source, substr(arg_min(text, doc_id), 1, 24) FROM documents GROUP BY source""",
+        UNION SELECT source, split_part(arg_min(text, doc_id), chr(10), 1) FROM documents GROUP BY source""",
     "v_names": """SELECT 'o' || c_custkey AS object_name,
         CASE c_custkey % 4 WHEN 0 THEN 'SDSS ' WHEN 1 THEN 'NAME ' WHEN 2 THEN 'Gaia DR3 ' ELSE '' END ||
         CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment || ' ' || c_name
