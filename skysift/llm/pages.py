@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction per host.
 
 Every page becomes a small tree of its containers, in which a run of text
-blocks is one node. One page of each host, the one of smallest hash, is the
-reference; all pages of the host are aligned with it by simple tree matching. Over
+blocks is one node. The commonest unlike trees of a host are its references; all
+pages of the host are aligned with the nearest of them by simple tree matching. Over
 all aligned pages, a reference node whose text hardly varies is template; the main
 slot is where most varying text stands. A page's article is the node aligned with the
 main slot without template; an own article or main element around it, or the only one
@@ -16,7 +16,9 @@ size checks. A page is parsed where it is read.
 
 Defined results: null or empty html gives an empty text; a page without url belongs to
 the host ''; broken and cut off markup is read as far as it goes; repeated rows give
-equal rows; an empty table gives no rows.
+equal rows; an empty table gives no rows. An element that only its class or id names
+as a part beside the article is left out, but not where it holds the page's article. Markup
+may nest to any depth. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import html as html_entities
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -65,16 +68,32 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parts", "skip", "number", "main")
+    __slots__ = ("tag", "parts", "skip", "number", "main", "marked")
 
-    def __init__(self, tag: str, skip: bool = False, main: bool = False):
+    def __init__(self, tag: str, skip: bool = False, main: bool = False, marked: bool = False):
         self.tag, self.parts, self.skip, self.main, self.number = tag, [], skip, main, -1  # parts: texts and nodes in order
+        self.marked = marked  # named by its class or id as no part of the article
+
+
+def settle_marks(root: Node) -> None:
+    """Leave out what is marked; where all articles of a page stand in marked elements, these stay."""
+    order: list[tuple[Node, Node | None, bool]] = [(root, None, False)]  # node, parent, below a marked one
+    for node, _, below in order:
+        order += [(part, node, below or node.marked) for part in node.parts if isinstance(part, Node) and not node.skip]
+    free = any(node.main and not node.skip and not below for node, _, below in order)
+    holding: set[int] = set()
+    if not free:
+        for node, parent, _ in reversed(order):
+            if not node.skip and (node.main or id(node) in holding) and parent is not None:
+                holding.add(id(parent))
+    for node, _, _ in order:
+        node.skip = node.skip or node.marked and id(node) not in holding
 
 
 def parse(text: str) -> Node:
     """Tree of a page; a start tag ends open elements as HTML implies, an end tag without start is passed over."""
     root = Node("root")
-    stack, pos = [root], 0
+    stack, pos, depth = [root], 0, 0
     for m in TOKEN.finditer(text):
         if m.start() < pos:
             continue  # inside raw text
@@ -114,15 +133,15 @@ def parse(text: str) -> Node:
                     last = k
             if last:
                 del stack[last:]
-        skip, main = tag in NEVER, tag in ("article", "main")
+        skip, main, marked = tag in NEVER, tag in ("article", "main"), False
         if m.group(3) and tag not in ("html", "body"):
             attrs = {a.lower(): b or c or d or "" for a, b, c, d in ATTR.findall(m.group(3))}
             role = attrs.get("role", "").lower()
             main = main or role in ("main", "article")
             marks = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", attrs.get("class", "") + " " + attrs.get("id", "")).lower()))
-            skip = skip or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))) or (
-                not main and bool(marks & MARKS)) or (tag == "article" and bool(marks & {"comment", "comments", "reply"}))
-        node = Node(tag, skip, main)
+            skip = skip or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))) or (tag == "article" and bool(marks & {"comment", "comments", "reply"}))
+            marked = not main and bool(marks & MARKS)
+        node = Node(tag, skip, main, marked)
         stack[-1].parts.append(node)
         if tag in VOID or m.group(3).endswith("/") and tag in ("svg", "path", "use"):
             continue
@@ -132,8 +151,13 @@ def parse(text: str) -> Node:
             pos = end.end()
             continue
         stack.append(node)
+        depth = max(depth, len(stack))
     if pos < len(text):
         stack[-1].parts.append(text[pos:])
+    # The walks below call themselves for each level; Python functions do so on the heap, bounded by this number alone.
+    if 4 * depth + 1000 > sys.getrecursionlimit():
+        sys.setrecursionlimit(4 * depth + 10_000)
+    settle_marks(root)
     return root
 
 
@@ -235,13 +259,27 @@ def skeleton(root: Node) -> tuple[list[list], list[list[Node]]]:
 
 
 def matched(a: list[list], b: list[list]) -> dict[int, int]:
-    """Simple tree matching: numbers of a's nodes to numbers of b's in a largest top-down match that keeps order."""
+    """Simple tree matching: numbers of a's nodes to numbers of b's in a largest top-down match that keeps order.
+
+    Children that are alike from the first or the last on, as whole trees, are matched with each other at once: no
+    match is larger. So long tables of like rows take a step a row.
+    """
     kids: list[dict[int, list[int]]] = []
+    kinds: list[list[int]] = []  # equal numbers for equal trees
+    names: dict[tuple, int] = {}
     for shape in (a, b):
         below: dict[int, list[int]] = {}
         for i, (_, above) in enumerate(shape):
             below.setdefault(above, []).append(i)
         kids.append(below)
+        kind = [0] * len(shape)
+        for i in range(len(shape) - 1, -1, -1):
+            kind[i] = names.setdefault((shape[i][0], *[kind[k] for k in below.get(i, [])]), len(names))
+        kinds.append(kind)
+    n_nodes = [1] * len(a)
+    for i in range(len(a) - 1, -1, -1):
+        if a[i][1] >= 0:
+            n_nodes[a[i][1]] += n_nodes[i]
     best: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def size(i: int, j: int) -> int:
@@ -249,12 +287,19 @@ def matched(a: list[list], b: list[list]) -> dict[int, int]:
             return 0
         if (i, j) not in best:
             xs, ys = kids[0].get(i, []), kids[1].get(j, [])
+            head, tail, most = 0, 0, min(len(xs), len(ys))
+            while head < most and kinds[0][xs[head]] == kinds[1][ys[head]]:
+                head += 1
+            while tail < most - head and kinds[0][xs[-1 - tail]] == kinds[1][ys[-1 - tail]]:
+                tail += 1
+            alike = [*zip(xs[:head], ys[:head], strict=True), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :], strict=True)]
+            xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
             table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
             for r, x in enumerate(xs, 1):
                 row, up = table[r], table[r - 1]
                 for c, y in enumerate(ys, 1):
                     row[c] = max(up[c], row[c - 1], up[c - 1] + size(x, y))
-            pairs, r, c = [], len(xs), len(ys)
+            pairs, r, c = list(alike), len(xs), len(ys)
             while r and c:
                 if table[r][c] == table[r - 1][c]:
                     r -= 1
@@ -263,14 +308,17 @@ def matched(a: list[list], b: list[list]) -> dict[int, int]:
                 else:
                     r, c = r - 1, c - 1
                     pairs.append((xs[r], ys[c]))
-            best[i, j] = (table[-1][-1] + 1, pairs)
+            best[i, j] = (table[-1][-1] + 1 + sum(n_nodes[x] for x, _ in alike), pairs)
         return best[i, j][0]
 
     size(-1, -1)
     out: dict[int, int] = {}
     todo = [(-1, -1)]
     while todo:
-        for x, y in best[todo.pop()][1]:
+        pair = todo.pop()
+        if pair not in best:
+            size(*pair)  # inside trees that are alike
+        for x, y in best[pair][1]:
             out[x] = y
             todo.append((x, y))
     return out
@@ -278,7 +326,13 @@ def matched(a: list[list], b: list[list]) -> dict[int, int]:
 
 def holds(node: Node, other: Node) -> bool:
     """Whether `other` is the node or stands below it."""
-    return node is other or any(isinstance(part, Node) and holds(part, other) for part in node.parts)
+    todo = [node]
+    while todo:
+        one = todo.pop()
+        if one is other:
+            return True
+        todo += [part for part in one.parts if isinstance(part, Node)]
+    return False
 
 
 def plain(nodes: list[Node], known: dict[int, list[str]]) -> str:
@@ -302,8 +356,8 @@ def main_text(root: Node, wrapper: list[dict] | None) -> str:
     """Text of the article of a parsed page, given its host's wrapper.
 
     The node aligned with the main slot decides, without what is template. An own
-    article element that holds it, or the only one in it, gives its bounds; there,
-    only nodes with the template's very text are left out.
+    article element that holds it, or the only one in it, gives its bounds. Only
+    nodes with the template's very text are left out, so that what is a page's own stays.
     """
     own = articles(root)
     if not wrapper:
@@ -311,16 +365,15 @@ def main_text(root: Node, wrapper: list[dict] | None) -> str:
     shape, nodes = skeleton(root)
     k, found = nearest(shape, [layout["shape"] for layout in wrapper])
     layout, pairs = wrapper[k], {y: x for x, y in found.items()}
-    template = {pairs[y]: same for y, same in layout["template"] if y in pairs}
+    known: dict[int, list[str]] = {}
+    dropped = {pairs[y] for y, same in layout["template"] if y in pairs and hash_of(plain(nodes[pairs[y]], known)) == same}
     if layout["pages"] >= TEMPLATE_PAGES and layout["slot"] in pairs:
         tops = nodes[pairs[layout["slot"]]]
         around = [a for a in own if holds(a, tops[0])] or [a for a in own if holds(tops[0], a)]
-        exact = len(around) == 1
-        known: dict[int, list[str]] = {}
-        text = text_of(around if exact else tops, {x for x, same in template.items() if not exact or hash_of(plain(nodes[x], known)) == same})
+        text = text_of(around if len(around) == 1 else tops, dropped)
         if text:
             return text
-    return text_of(own, set()) if own else text_of([root], set(template))
+    return text_of(own, set()) if own else text_of([root], dropped)
 
 
 def host_of(url: Column) -> Column:

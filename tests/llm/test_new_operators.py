@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skysift.llm import bin_swaps, byte_tokens, importance, oracles, repair
+from skysift.llm import bin_swaps, byte_tokens, importance, oracles, pages, repair
 from skysift.llm.arrays import blocks
 from skysift.llm.queries import byte_vocabulary
 from skysift.session import TableStore
@@ -312,3 +312,58 @@ def test_sql_crc_equals_zlib():
     for text in ("", "7:12", "é-ß日本", "x" * 300):
         sql = f"WITH {oracles.CRC_TABLE} SELECT {oracles.crc32('w')} FROM (SELECT $1::VARCHAR AS w), crc_table"
         assert duckdb.execute(sql, [text]).fetchall() == [(zlib.crc32(text.encode()),)]
+
+
+# --- pages
+
+
+@pytest.mark.parametrize("name", ["layout with-sidebar", "has-sidebar", "content no-comments", "post ad-free", "social-science", "related-work", "entry notice"])
+def test_a_class_name_never_empties_a_page(name):
+    page = f'<body><div class="menu">Menu</div><div class="{name}"><article><p>The text.</p></article></div><div class="sidebar">Side</div></body>'
+    assert pages.main_text(pages.parse(page), None) == "The text."
+    cards = '<body><main><p>The text.</p></main><div class="related"><article><p>Another.</p></article></div></body>'
+    assert pages.main_text(pages.parse(cards), None) == "The text."
+
+
+def test_own_leads_stay_where_others_share_theirs(spark):
+    def page(lead, k):
+        return f"<html><body><div><p>{lead}</p></div><div><h1>Title {k}</h1><div><p>{f'Own words {k} ' * 20}</p></div></div></body></html>"
+
+    rows = [(k, f"http://h.org/{k}", page("A shared lead." if k < 3 else f"A lead of its own, {k}.", k)) for k in range(6)]
+    out = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), TableStore(spark)).collect()}
+    assert all(f"A lead of its own, {k}." in out[k] for k in range(3, 6)) or all(f"Own words {k}" in out[k] for k in range(6))
+
+
+def test_deep_and_wide_pages():
+    deep = "<div>" * 100_000 + "<p>At the bottom.</p>"
+    assert pages.main_text(pages.parse(deep), None) == "At the bottom."
+    row = "<tr><td>a</td><td><div>b</div></td></tr>"
+    shapes = [pages.skeleton(pages.parse(f"<table>{row * n}<tr><th>x</th></tr></table>"))[0] for n in (20_000, 15_000)]
+    assert len(pages.matched(*shapes)) == min(map(len, shapes))
+
+
+def test_matching_is_as_large_as_by_hand():
+    def by_hand(a, b):
+        kids = [defaultdict(list) for _ in range(2)]
+        for k, shape in enumerate((a, b)):
+            for i, (_, above) in enumerate(shape):
+                kids[k][above].append(i)
+
+        def size(i, j):
+            if i >= 0 and a[i][0] != b[j][0]:
+                return 0
+            xs, ys = kids[0][i], kids[1][j]
+            table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+            for r, x in enumerate(xs, 1):
+                for c, y in enumerate(ys, 1):
+                    table[r][c] = max(table[r - 1][c], table[r][c - 1], table[r - 1][c - 1] + size(x, y))
+            return table[-1][-1] + 1
+
+        return size(-1, -1) - 1
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([[rng.choice("pqr"), rng.randint(-1, i - 1)] for i in range(rng.randint(1, 9))] for _ in range(2))
+        got = pages.matched(a, b)
+        assert len(got) == by_hand(a, b) and all(a[x][0] == b[y][0] for x, y in got.items())
+        assert all((a[x][1] == -1 and b[y][1] == -1) or got.get(a[x][1]) == b[y][1] for x, y in got.items())
