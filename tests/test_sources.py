@@ -198,6 +198,33 @@ def test_versioned_table(spark, tmp_path):
     assert t.versions() == [1, 2, 3]
 
 
+def test_extensions_write_their_own_rows_and_writers_never_share_a_number(spark, tmp_path):
+    path = str(tmp_path / "log")
+    one, two = sinks.VersionedTable(spark, path), sinks.VersionedTable(spark, path)
+    schema = "k string, v int"
+    one.write(spark.createDataFrame([("a", 1), (None, 0)], schema))
+    one.extend(spark.createDataFrame([("a", 2), ("b", 3)], schema), "k")
+    assert [(r["k"], r["v"]) for r in spark.read.parquet(f"{path}/d2").collect()] == [("b", 3)]
+    # Two writers that both saw the table before either was done.
+    assert one._claim() == 3 and two._claim() == 4
+    spark.createDataFrame([("c", 5)], schema).write.parquet(f"{path}/d4")
+    spark.createDataFrame([("c", 4), ("d", 6)], schema).write.parquet(f"{path}/d3")
+    want = {("a", 1), (None, 0), ("b", 3), ("c", 4), ("d", 6)}
+    assert {tuple(r) for r in two.read("k").collect()} == want and two.read("k").count() == 5
+    two.compact("k")
+    assert two.versions() == [1, 2, 3, 4, 5] and {tuple(r) for r in one.read().collect()} == want
+    two.extend(spark.createDataFrame([("e", 7, "x")], "k string, v int, more string"), "k")
+    assert {tuple(r) for r in one.read("k").collect()} == {(*r, None) for r in want} | {("e", 7, "x")}
+
+
+def test_places_follow_files_and_rows(spark, tmp_path):
+    rows = spark.range(0, 5000, 1, 7).selectExpr("id", "id * 7919 % 5003 as score")
+    sinks.write_results(rows, None, str(tmp_path / "out"), score="score")
+    got = sinks.read_places(spark, str(tmp_path / "out" / "results")).collect()
+    order = sorted(((-r.score, r.id) for r in rows.collect()))
+    assert [(-r.score, r.id) for r in sorted(got, key=lambda r: r.place)] == order and {r.place for r in got} == set(range(5000))
+
+
 def test_done_table(spark):
     done = spark.createDataFrame([("a", 1)], "k string, matched int")
     todo = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
