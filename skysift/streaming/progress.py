@@ -36,32 +36,62 @@ def running_tokens(log: DataFrame) -> DataFrame:
     )
 
 
-def catch_up(totals: DataFrame, sink: str, checkpoint: str, key: list[str]) -> StreamingQuery:
+def catch_up(totals: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Bring a totals table up to what the log holds now, then stop.
 
-    Each batch carries the changed keys only; they replace their rows in a new
-    version of the table, named by the batch, so that a repeated batch is harmless.
+    Each batch writes the changed keys only, to a folder of its own number, so that a repeated batch is harmless.
     """
-    def merge(batch: DataFrame, number: int) -> None:
-        folder = f"{sink}/batch={number}"
-        old = None if number == 0 else batch.sparkSession.read.parquet(f"{sink}/batch={number - 1}")
-        new = batch if old is None else old.join(batch.select(*key), key, "left_anti").unionByName(batch)
-        new.write.mode("overwrite").parquet(folder)
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    query = (
+    return (
         totals.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(merge)
+        .foreachBatch(add)
         .start()
     )
-    return query
 
 
-def latest(spark: SparkSession, sink: str, query: StreamingQuery) -> DataFrame:
-    """The newest complete version of the totals; the query's own progress may name a batch that wrote none."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(sink)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(folder)]
-    done = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{sink}/{n}/_SUCCESS"))]
-    return spark.read.parquet(f"{sink}/batch={max(done)}")
+def _complete(spark: SparkSession, sink: str) -> dict[str, list[int]]:
+    """Numbers of the complete folders of each kind: batches, and totals that stand for all batches up to theirs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(sink).getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"batch": [], "upto": []}
+    for status in files.listStatus(path(sink)):
+        name = status.getPath().getName()
+        kind, _, number = name.partition("=")
+        if kind in found and number.isdigit() and files.exists(path(f"{sink}/{name}/_SUCCESS")):
+            found[kind].append(int(number))
+    return found
+
+
+def latest(spark: SparkSession, sink: str, key: list[str]) -> DataFrame:
+    """The totals now: the newest row of each key, from the last compacted totals and the batches since."""
+    done = _complete(spark, sink)
+    base = max(done["upto"], default=-1)
+    folders = [f"{sink}/upto={base}"] * (base >= 0) + [f"{sink}/batch={n}" for n in sorted(done["batch"]) if n > base]
+    rows = spark.read.parquet(*folders).withColumn("_folder", F.col("_metadata.file_path"))
+    rest = [c for c in rows.columns if c not in (*key, "_folder")]
+    number = F.regexp_extract("_folder", r"(?:batch|upto)=(\d+)/[^/]*$", 1).cast("long")
+    newest = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), number).alias("_row"))
+    return newest.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+
+
+def compact(spark: SparkSession, sink: str, key: list[str]) -> None:
+    """Write the totals as one folder and delete what it stands for; to be called while no batch runs.
+
+    The folder counts once it is complete; what is deleted before a failure, it already stands for.
+    """
+    done = _complete(spark, sink)
+    if not done["batch"]:
+        return
+    last = max(done["batch"])
+    if last > max(done["upto"], default=-1):
+        latest(spark, sink, key).write.mode("overwrite").parquet(f"{sink}/upto={last}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(sink).getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind, numbers in done.items():
+        for n in numbers:
+            if kind == "batch" or n < last:
+                files.delete(path(f"{sink}/{kind}={n}"), True)

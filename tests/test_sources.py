@@ -171,18 +171,38 @@ def test_log_append_and_stream(spark, tmp_path):
     store, mark = str(tmp_path / "scores"), str(tmp_path / "mark")
 
     def catch_up():
-        q = progress.catch_up(progress.running_scores(progress.log_stream(spark, path)), store, mark, ["run", "id"])
+        q = progress.catch_up(progress.running_scores(progress.log_stream(spark, path)), store, mark)
         q.awaitTermination()
-        return {r["id"]: r["imagescore"] for r in progress.latest(spark, store, q).collect()}
+        return {r["id"]: r["imagescore"] for r in progress.latest(spark, store, ["run", "id"]).collect()}
 
     assert catch_up() == {1: 1, 2: 0}
     # The second round arrives later, with one judgment written twice.
     sinks.append_log(spark.createDataFrame([(1, 1, 1, 1, 5, 2, 1, 2), (1, 1, 1, 1, 5, 2, 1, 2), (3, 1, 2, 1, 5, 2, 1, 2)], cols), path)
     assert catch_up() == {1: 2, 2: 0, 3: 1}
     assert sinks.read_log(spark, path).filter("run = 1 and round = 2").count() == 3
-    tok = progress.catch_up(progress.running_tokens(progress.log_stream(spark, path)), str(tmp_path / "tok"), str(tmp_path / "tokmark"), ["run"])
+    tok = progress.catch_up(progress.running_tokens(progress.log_stream(spark, path)), str(tmp_path / "tok"), str(tmp_path / "tokmark"))
     tok.awaitTermination()
-    assert tuple(progress.latest(spark, str(tmp_path / "tok"), tok).select("calls", "input_tokens", "output_tokens").first()) == (2, 15, 3)
+    assert tuple(progress.latest(spark, str(tmp_path / "tok"), ["run"]).select("calls", "input_tokens", "output_tokens").first()) == (2, 15, 3)
+
+
+def test_totals_write_changed_keys_only_and_compact(spark, tmp_path):
+    path, store, mark = (str(tmp_path / n) for n in ("log", "totals", "mark"))
+    cols = "id long, grp long, slot int, kept int, input_tokens long, output_tokens long, run int, round int"
+    want = {}
+    for turn in range(1, 5):  # every turn is a restart
+        ids = [1, turn + 10]
+        sinks.append_log(spark.createDataFrame([(i, 1, 1, 1, 1, 1, 1, turn) for i in ids], cols), path)
+        for i in ids:
+            want[i] = want.get(i, 0) + 1
+        progress.catch_up(progress.running_scores(progress.log_stream(spark, path)), store, mark).awaitTermination()
+        assert {r["id"]: r["imagescore"] for r in progress.latest(spark, store, ["run", "id"]).collect()} == want
+        newest = max(int(n.name.split("=")[1]) for n in (tmp_path / "totals").glob("batch=*"))
+        assert {r["id"] for r in spark.read.parquet(f"{store}/batch={newest}").collect()} <= set(ids)
+        (tmp_path / "totals" / "batch=99").mkdir(exist_ok=True)  # a batch that never ended
+        if turn == 2:
+            progress.compact(spark, store, ["run", "id"])
+            assert [n.name for n in (tmp_path / "totals").glob("batch=*")] == ["batch=99"]
+        (tmp_path / "totals" / "batch=99").rmdir()
 
 
 def test_versioned_table(spark, tmp_path):

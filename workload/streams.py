@@ -18,9 +18,9 @@ def _events(spark, sf) -> DataFrame:
 
 def _caught_up(spark, totals: DataFrame, key: list[str]) -> DataFrame:
     store = TableStore(spark)
-    query = progress.catch_up(totals, store.path("totals"), store.path("progress"), key)
+    query = progress.catch_up(totals, store.path("totals"), store.path("progress"))
     query.awaitTermination()
-    return progress.latest(spark, store.path("totals"), query)
+    return progress.latest(spark, store.path("totals"), key)
 
 
 @register("stream_running_scores", """SELECT event_id % 3 AS run, user_id AS id,
