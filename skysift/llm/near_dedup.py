@@ -128,6 +128,23 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(work, "node long, shingles array<long>, long_bits array<long>")
 
 
+def holders(sets: DataFrame) -> DataFrame:
+    """(shingle, low, high): least and largest node that hold a shingle, once for all rows of a batch that share it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            values = column.flatten().to_numpy()
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(column.offsets.to_numpy()))
+            order = np.argsort(values, kind="stable")
+            values, nodes = values[order], nodes[order]
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+            low, high = (np.minimum.reduceat(nodes, first), np.maximum.reduceat(nodes, first)) if len(first) else (nodes, nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(values[first]), pa.array(low), pa.array(high)], names=["shingle", "low", "high"])
+
+    return sets.select("node", "shingles").mapInArrow(work, "shingle long, low long, high long")
+
+
 def estimate(x: Column, y: Column, hashes: int = HASHES) -> Column:
     """Similarity by the equal places of two packed signatures, corrected for places that are equal by chance."""
     def places(a: Column, b: Column) -> Column:
@@ -172,10 +189,10 @@ def strays(links: _Links, members: DataFrame, marks: DataFrame) -> DataFrame:
     group = known.join(led.select("bucket", "leader"), "bucket").select("leader", "node", "_c").distinct().join(marks.select("node", "bits"), "node")
     group = links.store.write(group, "led")
     sets = links.store.write(shingle_rows(links.texts.join(group.select("node").distinct(), "node", "left_semi")), "led-sets")
-    sizes = sets.groupBy("node").agg(F.min(F.size("shingles")).alias("n"), F.when(F.count("*") == 1, F.first("long_bits")).alias("long_bits"))
-    each = sets.select("node", F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.min("node").alias("_l"), F.max("node").alias("_h")).filter("_l < _h").select("shingle")
-    support = each.join(links.store.write(shared, "led-shared"), "shingle").groupBy("node").agg(F.count("*").alias("most")).join(sizes, "node")
+    sizes = sets.groupBy("node").agg(F.min(F.size("shingles")).alias("n"), F.sum(F.size("shingles")).alias("_all"), F.when(F.count("*") == 1, F.first("long_bits")).alias("long_bits"))
+    # A shingle that only one node holds is shared with none.
+    alone = holders(sets).groupBy("shingle").agg(F.min("low").alias("node"), F.max("high").alias("_high")).filter("node = _high").groupBy("node").agg(F.count("*").alias("_alone"))
+    support = sizes.join(alone, "node", "left").withColumn("most", F.col("_all") - F.coalesce("_alone", F.lit(0))).drop("_all", "_alone")
     support = support.filter(100 * F.col("most") >= PERCENT * F.col("n"))
     group = links.store.write(group.join(support, "node"), "led-able")
     own = group.filter("_c <> leader").select("leader", F.col("node").alias("_p"), F.col("_c").alias("_pc"), F.col("bits").alias("_x"), F.col("most").alias("_m"), F.col("n").alias("_pn"), F.col("long_bits").alias("_long"))
