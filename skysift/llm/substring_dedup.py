@@ -1,16 +1,23 @@
 """Substring de-duplication by content-defined chunks.
 
-A gear hash rolls over the bytes of a text; where it matches a mask at a white
-space, a chunk ends, so an insertion moves only the cuts near it. Chunks are
-compared by digest. A run of chunks that all occur in documents with a smaller
-id, or earlier in the same one, is taken out when it is longer than MIN_RUN_BYTES.
+A gear hash rolls over the bytes of a text; a chunk ends behind a word at whose
+end the hash is the least among RADIUS words on either side, so a cut depends on
+its neighbourhood alone and an insertion moves only the cuts near it. Windows of
+WINDOW chunks are compared by digest. A window that occurs in documents with a
+smaller id, or before in the same text, names the place to compare with: the run
+of such windows is extended word by word to the left and right along the text of
+the first document, and is taken out when it has LEAST_WORDS words and more.
 
 Tasks write one row of digests per text. Digests are combined before they are
-shuffled, and only those of several documents meet the texts' chunks again.
+shuffled, only those of several documents meet the windows again, and only the
+words around the ends of runs are carried from one document to the others.
 
 Defined results: null and empty texts stay; rows that share an id are one document;
 rows without id are one document after all others; of equal documents the one with
-the smallest id stays whole; repeated rows are cut alike; an empty table gives no rows.
+the smallest id stays whole; repeated rows are cut alike; an empty table gives no rows;
+columns other than doc_id and text are not looked at. Words are what white space
+parts. An end of a run is extended along the first document that holds its outermost
+window, and by at most CONTEXT words: longer equal stretches have cuts of their own.
 """
 
 from __future__ import annotations
@@ -22,184 +29,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skysift.llm.arrays import SPACE, _power_tables, blocks, mix, span_hashes, word_spans
+from skysift.llm.arrays import _power_tables, blocks, mix, span_hashes, word_spans
 from skysift.session import TableStore
 
 LAST = (1 << 63) - 1
-# A cut needs a white space and MASK_BITS bits of the hash to be 0: chunks of some 60 bytes.
-MASK_BITS = 3
-MIN_CHUNK, MAX_CHUNK = 16, 1024
-# A run of repeated chunks goes from this many bytes on: some 25 words, what whole chunks leave of 50 repeated words.
-MIN_RUN_BYTES = 140
-PASSAGE_WORDS, ANCHOR_WORDS = 50, 20
-# Anchor hashes that begin in one passage.
-REACH = PASSAGE_WORDS - ANCHOR_WORDS + 1
+# Words on either side among which a cut has the least hash: chunks of some 7 words.
+RADIUS = 3
+# A stretch without a cut, as of one word again and again, is cut after this many words.
+LONGEST = 64
+WINDOW = 2
+# A run goes from this many words on, so a passage of 50 still goes where one end is not extended.
+LEAST_WORDS = 30
+CONTEXT = 32
 
 _GEAR = np.random.default_rng(20240503).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def gear(buf: np.ndarray) -> np.ndarray:
-    """Gear hash of 32 bits at every byte: hash = (hash << 1) + value of the byte, by doubling windows."""
+def gear(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Gear hash at every byte: hash = (hash << 2) + value of the byte, so 16 bytes count, by doubling windows inside each text."""
     h = _GEAR[buf]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         shifted = np.zeros_like(h)
-        shifted[k:] = h[:-k] << np.uint32(k)
+        shifted[k:] = h[:-k] << np.uint32(2 * k)
+        heads = offs[:-1, None] + np.arange(k)
+        shifted[heads[heads < offs[1:, None]]] = 0
         h = h + shifted
     return h
 
 
-def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of all chunks over the buffer, and for each text the number of its first chunk (n + 1 values).
+def cut_words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, first word of each text (n + 1 values), and whether a chunk begins at each word."""
+    starts, ends, first = word_spans(buf, offs)
+    n = len(starts)
+    if not n:
+        return starts, ends, first, np.zeros(0, bool)
+    value = gear(buf, offs)[ends - 1]
+    at = np.arange(n)
+    behind = at - np.repeat(first[:-1], np.diff(first))
+    ahead = np.repeat(first[1:], np.diff(first)) - 1 - at
+    least = np.ones(n, bool)
+    for k in range(1, min(RADIUS, n - 1) + 1):
+        least[k:] &= (behind[k:] < k) | (value[:-k] > value[k:])
+        least[:-k] &= (ahead[:-k] < k) | (value[k:] >= value[:-k])
+    begins = behind == 0
+    begins[1:] |= least[:-1]
+    since = at - np.maximum.accumulate(np.where(begins, at, 0))
+    return starts, ends, first, begins | (since % LONGEST == 0)
 
-    A chunk ends behind a white space whose hash has MASK_BITS zeros at the top,
-    not before MIN_CHUNK bytes, and at MAX_CHUNK bytes at the latest, there
-    before a byte that begins a character.
-    """
-    hit = np.flatnonzero(((gear(buf) >> np.uint32(32 - MASK_BITS)) == 0) & SPACE[buf]) + 1
-    at = np.searchsorted(hit, offs)
-    places, ends, firsts = hit.tolist(), [], [0]
-    for t in range(len(offs) - 1):
-        pos, stop = int(offs[t]), int(offs[t + 1])
-        for cut in [*places[at[t] : at[t + 1]], stop]:
-            while cut - pos > MAX_CHUNK:
-                forced = pos + MAX_CHUNK
-                while buf[forced] & 0xC0 == 0x80:
-                    forced -= 1
-                ends.append(forced)
-                pos = forced
-            if cut - pos >= MIN_CHUNK or (cut == stop and cut > pos):
-                ends.append(cut)
-                pos = cut
-        firsts.append(len(ends))
-    return np.asarray(ends, np.int64), np.asarray(firsts, np.int64)
-
-
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key, doc, digests and byte lengths of the chunks of each text, and whether a chunk came before in it."""
-    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), docs[text_col].alias("text"))
+
+def chunks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte ends of all chunks, and for each text the number of its first chunk (n + 1 values); texts without words have none."""
+    starts, _, first, begins = cut_words(buf, offs)
+    heads = np.flatnonzero(begins)
+    firsts = np.searchsorted(heads, first)
+    ends = np.append(starts[heads[1:]], offs[-1]) if len(heads) else np.zeros(0, np.int64)
+    full = np.diff(firsts) > 0
+    ends[firsts[1:][full] - 1] = offs[1:][full]
+    return ends, firsts
+
+
+class Windows:
+    """Words, and windows of WINDOW chunks, of the texts of one block; windows of text t: where[t] to where[t + 1]."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+        self.offs = offs
+        self.starts, ends, self.first, begins = cut_words(buf, offs)
+        self.words = span_hashes(buf, self.starts, ends)
+        heads = np.flatnonzero(begins)
+        firsts = np.searchsorted(heads, self.first)
+        counts = np.maximum(np.diff(firsts) - WINDOW + 1, 0)
+        self.where = np.concatenate([[0], np.cumsum(counts)])
+        chunk = np.repeat(firsts[:-1] - self.where[:-1], counts) + np.arange(self.where[-1])
+        bounds = np.append(heads, len(self.starts))
+        self.begin, self.end = bounds[chunk], bounds[chunk + WINDOW]
+        power, inverse = _power_tables(len(self.words) + 1)
+        sums = np.zeros(len(self.words) + 1, np.uint64)
+        np.cumsum(self.words * power[: len(self.words)], out=sums[1:])
+        hashed = (sums[self.end] - sums[self.begin]) * inverse[self.begin] + (self.end - self.begin).astype(np.uint64)
+        self.digests = mix(hashed).view(np.int64)
+
+    def earlier(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the windows of text t that occur before in it, without overlap, and of their first occurrences."""
+        a, b = int(self.where[t]), int(self.where[t + 1])
+        _, at, back = np.unique(self.digests[a:b], return_index=True, return_inverse=True)
+        source = at[back] + a
+        own = np.arange(a, b)
+        again = self.end[source] <= self.begin[own]
+        return own[again], source[again]
+
+    def around(self, t: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words before window k of text t, nearest first, and behind it, CONTEXT of them at most, as 32 bits."""
+        low, high = max(int(self.first[t]), int(self.begin[k]) - CONTEXT), min(int(self.first[t + 1]), int(self.end[k]) + CONTEXT)
+        short = self.words[low:high].astype(np.uint32).view(np.int32)
+        return short[: int(self.begin[k]) - low][::-1], short[int(self.end[k]) - low :]
+
+
+def agree(a: np.ndarray, b: np.ndarray) -> int:
+    """How many leading values are equal."""
+    n = min(len(a), len(b))
+    unlike = np.flatnonzero(a[:n] != b[:n])
+    return int(unlike[0]) if len(unlike) else n
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc, row_key, doc_id and text of each row; doc and row_key stand for the row."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(docs["doc_id"], docs["text"]).alias("row_key"), docs["doc_id"], docs["text"])
+
+
+def window_table(rows: DataFrame) -> DataFrame:
+    """doc, row_key, digests of the windows of each text in order, and whether one comes again in it."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, offs in blocks(batch.column(2)):
-                ends, first = chunks(buf, offs)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                starts[first[:-1][first[:-1] < len(ends)]] = offs[:-1][first[:-1] < len(ends)]
-                digests = span_hashes(buf, starts, ends).view(np.int64)
-                parts = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
-                again = []
-                for p in parts:
-                    seen = np.ones(p.stop - p.start, bool)
-                    seen[np.unique(digests[p], return_index=True)[1]] = False
-                    again.append(seen)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array([digests[p] for p in parts], pa.list_(pa.int64())),
-                     pa.array([(ends[p] - starts[p]).astype(np.int32) for p in parts], pa.list_(pa.int32())), pa.array(again, pa.list_(pa.bool_()))],
-                    names=["row_key", "doc", "digests", "lengths", "again"])
-
-    return rows.mapInArrow(work, "row_key long, doc long, digests array<long>, lengths array<int>, again array<boolean>")
-
-
-def repeated_runs(flags: np.ndarray, lengths: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Byte spans of the runs of flagged chunks of at least `least` bytes."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    upto = np.concatenate([[0], np.cumsum(lengths)])
-    return [(int(upto[a]), int(upto[b])) for a, b in edges.reshape(-1, 2) if upto[b] - upto[a] >= least]
-
-
-def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the `size` words from each word on; 0 where the buffer ends before."""
-    out = np.zeros(len(words), np.uint64)
-    if len(words) >= size:
-        power, inverse = _power_tables(len(words) + 1)
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * power[: len(words)], out=sums[1:])
-        n = len(words) - size + 1
-        out[:n] = mix((sums[size:] - sums[:n]) * inverse[:n])
-    return out
+                w = Windows(buf, offs)
+                digests = pa.ListArray.from_arrays(pa.array(w.where, pa.int32()), pa.array(w.digests))
+                own = pa.array([len(w.earlier(t)[0]) > 0 for t in range(j - i)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), digests, own], names=["doc", "row_key", "digests", "own"])
 
+    return rows.select("doc", "row_key", "text").mapInArrow(work, "doc long, row_key long, digests array<long>, own boolean")
 
-def sliding(values: np.ndarray, width: int, pick: np.ufunc, step: int) -> np.ndarray:
-    """`pick` over `width` values from each place on (step 1) or up to it (step -1), as far as they go."""
-    out, have = values.copy(), 1
-    while have < width:
-        by = min(have, width - have)
-        before = out.copy()
-        if step > 0:
-            out[:-by] = pick(before[:-by], before[by:])
-        else:
-            out[by:] = pick(before[by:], before[:-by])
-        have += by
-    return out
-
-
-def passages(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word starts, first words of the texts, word hashes, anchor hashes, and whether a whole passage starts at each word."""
-    starts, ends, first = word_spans(buf, offs)
-    hashed = span_hashes(buf, starts, ends)
-    rest = np.repeat(first[1:], np.diff(first)) - np.arange(len(starts))
-    return starts, first, hashed, run_hashes(hashed, ANCHOR_WORDS), rest >= PASSAGE_WORDS
 
-
-def anchor_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_key, doc, anchors and those that come again in the text, for texts of PASSAGE_WORDS words and more."""
-    rows = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("row_key"), F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), docs[text_col].alias("text"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, buf, offs in blocks(batch.column(2)):
-                _, first, _, anchors, whole = passages(buf, offs)
-                least = np.where(whole, sliding(anchors, REACH, np.minimum, 1), np.uint64(0)) if len(anchors) else anchors
-                chosen = (sliding(least, REACH, np.maximum, -1) == anchors) & (anchors > 0) if len(anchors) else np.zeros(0, bool)
-                every, again = [], []
-                for a, b in zip(first[:-1], first[1:], strict=True):
-                    own, n = np.unique(anchors[a:b][chosen[a:b]], return_counts=True)
-                    every.append(own.view(np.int64))
-                    again.append(own[n > 1].view(np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(every, pa.list_(pa.int64())), pa.array(again, pa.list_(pa.int64()))],
-                                                 names=["row_key", "doc", "anchors", "again"])
-
-    return rows.mapInArrow(work, "row_key long, doc long, anchors array<long>, again array<long>").filter("size(anchors) > 0")
-
-
-def repeated_passages(docs: DataFrame, store: TableStore) -> DataFrame:
-    """row_key and the byte bounds (begin, end) of its passages that occur in documents before, or before in its own text."""
-    found = store.write(anchor_table(docs), "anchors")
-    each = found.select("row_key", "doc", F.explode("anchors").alias("anchor"))
-    common = each.groupBy("anchor").agg(F.min("doc").alias("_first"), F.max("doc").alias("_last")).filter("_first < _last").select("anchor")
-    common = store.write(common, "common_anchors")
-    near = each.join(common, "anchor").select("row_key", "anchor").union(found.select("row_key", F.explode("again").alias("anchor")))
-    near = near.groupBy("row_key").agg(F.collect_set("anchor").alias("near"))
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc"), "text")
-    texts = texts.join(near, "row_key").select("row_key", "doc", "text", "near")
+def context_table(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest and the words before and behind its first place in the first document, for the digests that `wanted` names per doc."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near_of = batch.column(3)
             for i, j, buf, offs in blocks(batch.column(2)):
-                starts, first, hashed, anchors, whole = passages(buf, offs)
-                runs = run_hashes(hashed, PASSAGE_WORDS)
-                hashes, begins, ends, again = [], [], [], []
+                w = Windows(buf, offs)
+                keys, digests, before, behind = [], [], [], []
                 for t in range(j - i):
-                    a, b = int(first[t]), int(first[t + 1])
-                    hit = np.isin(anchors[a:b], near_of[i + t].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    at = np.flatnonzero(sliding(hit, REACH, np.logical_or, 1) & whole[a:b])
-                    own = runs[a:b][at]
-                    _, earliest, back = np.unique(own, return_index=True, return_inverse=True)
-                    bounds = np.append(starts[a:b], offs[t + 1]) - offs[t]
-                    hashes.append(own.view(np.int64))
-                    begins.append(bounds[at].astype(np.int32))
-                    ends.append(bounds[at + PASSAGE_WORDS].astype(np.int32))
-                    again.append(at - at[earliest[back]] >= PASSAGE_WORDS)  # the first one stays whole
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(hashes, pa.list_(pa.int64())), pa.array(begins, pa.list_(pa.int32())),
-                     pa.array(ends, pa.list_(pa.int32())), pa.array(again, pa.list_(pa.bool_()))], names=["row_key", "doc", "hashes", "begins", "ends", "again"])
-
-    wide = store.write(texts.mapInArrow(work, "row_key long, doc long, hashes array<long>, begins array<int>, ends array<int>, again array<boolean>"), "passages")
-    firsts = wide.select("doc", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).filter("first_doc < _last")
-    firsts = store.write(firsts.select("hash", "first_doc"), "common_passages")
-    one = wide.select("row_key", "doc", F.explode(F.arrays_zip("hashes", "begins", "ends", "again")).alias("x")).select("row_key", "doc", F.col("x.hashes").alias("hash"), F.col("x.begins").alias("begin"), F.col("x.ends").alias("end"), F.col("x.again").alias("again"))
-    later = one.join(firsts, "hash").filter("doc > first_doc").select("row_key", "begin", "end")
-    return later.union(one.filter("again").select("row_key", "begin", "end"))
+                    a, b = int(w.where[t]), int(w.where[t + 1])
+                    found, at = np.unique(w.digests[a:b], return_index=True)
+                    for k in (at[np.isin(found, batch.column(3)[i + t].values.to_numpy())] + a).tolist():
+                        left, right = w.around(t, k)
+                        keys.append(batch.column(1)[i + t].as_py())
+                        digests.append(int(w.digests[k]))
+                        before.append(left)
+                        behind.append(right)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.int64()), pa.array(before, pa.list_(pa.int32())), pa.array(behind, pa.list_(pa.int32()))],
+                                                 names=["row_key", "digest", "before", "behind"])
+
+    texts = rows.join(wanted, "doc").select("doc", "row_key", "text", "wanted")
+    found = texts.mapInArrow(work, "row_key long, digest long, before array<int>, behind array<int>")
+    return found.groupBy("digest").agg(F.min(F.struct("row_key", "before", "behind")).alias("x")).select("digest", "x.before", "x.behind")
+
+
+def runs(places: np.ndarray) -> list[tuple[int, int]]:
+    """First and last of each run of consecutive numbers."""
+    if not len(places):
+        return []
+    breaks = np.flatnonzero(np.diff(places) > 1)
+    return list(zip(places[np.append(0, breaks + 1)].tolist(), places[np.append(breaks, len(places) - 1)].tolist(), strict=True))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,41 +194,77 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def drop_repeats(docs: DataFrame, store: TableStore, least: int = MIN_RUN_BYTES) -> DataFrame:
-    """doc_id, the text without repeated runs, n_chars of it, n_chunks, n_repeated, cut (byte spans), for each row of `docs`."""
-    table = store.write(chunk_table(docs), "chunks")
-    first = table.select("doc", F.explode("digests").alias("digest"))
-    shared = first.groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last")).filter("first_doc < _last")
-    shared = store.write(shared.select("digest", "first_doc"), "shared")
-    each = table.select("row_key", "doc", F.posexplode("digests").alias("pos", "digest"))
-    later = each.join(shared, "digest").filter("doc > first_doc").select("row_key", "pos").distinct()
-    flagged = later.groupBy("row_key").agg(F.collect_list("pos").alias("places"))
-    found = repeated_passages(docs, store).groupBy("row_key").agg(F.collect_set(F.struct("begin", "end")).alias("_found"))
-    found = found.select("row_key", F.col("_found.begin").alias("begins"), F.col("_found.end").alias("ends"))
-    marked = table.dropDuplicates(["row_key"]).join(flagged, "row_key", "left").join(found, "row_key", "left")
-    marked = marked.filter("places is not null or begins is not null or exists(again, x -> x)").select("row_key", "places", "lengths", "again", "begins", "ends")
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def repeated_spans(w: Windows, t: int, places: np.ndarray, before: dict[int, np.ndarray], behind: dict[int, np.ndarray], least: int) -> tuple[list[tuple[int, int]], int]:
+    """Spans of words of text t that repeat, and the number of its repeated windows.
+
+    `places`: windows that occur in documents before; `before` and `behind`: the
+    words around the windows at the ends of their runs, by digest.
+    """
+    base, low, high = int(w.where[t]), int(w.first[t]), int(w.first[t + 1])
+    none = np.zeros(0, np.int32)
+    spans = []
+    for a, b in runs(places + base):
+        left, right = w.around(t, a)[0], w.around(t, b)[1]
+        spans.append((int(w.begin[a]) - agree(left, before.get(int(w.digests[a]), none)), int(w.end[b]) + agree(right, behind.get(int(w.digests[b]), none))))
+    own, source = w.earlier(t)
+    source_of = dict(zip(own.tolist(), source.tolist(), strict=True))
+    for a, b in runs(own):
+        begin, other = int(w.begin[a]), int(w.begin[source_of[a]])
+        end, behind_it = int(w.end[b]), int(w.end[source_of[b]])
+        left = agree(w.words[max(low, begin - LONGEST) : begin][::-1], w.words[max(low, other - LONGEST) : other][::-1])
+        right = agree(w.words[end : min(high, end + LONGEST)], w.words[behind_it : min(high, behind_it + LONGEST)])
+        spans.append((begin - left, end + right))
+    return [(a, b) for a, b in merged(spans) if b - a >= least], len(np.union1d(places + base, own))
+
+
+def drop_repeats(docs: DataFrame, store: TableStore, least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, the text without repeated runs, n_chars of it, n_repeated (windows), cut (byte bounds), kept, for each row of `docs`."""
+    key = ["doc", "row_key"]
+    rows = keyed(docs)
+    table = store.write(window_table(rows), "windows")
+    shared = table.select("doc", F.explode("digests").alias("digest")).groupBy("digest").agg(F.min("doc").alias("first_doc"), F.max("doc").alias("_last"))
+    shared = store.write(shared.filter("first_doc < _last").select("digest", "first_doc"), "shared")
+    later = table.select(*key, F.posexplode("digests").alias("pos", "digest")).join(shared, "digest").filter("doc > first_doc")
+    hits = later.groupBy(key).agg(F.sort_array(F.collect_set(F.struct("pos", "digest", "first_doc"))).alias("w"))
+    hits = hits.withColumn("n", F.size("w"))
+    opens = lambda x, i: (i == 0) | (F.get("w", i - 1)["pos"] < x["pos"] - 1)
+    closes = lambda x, i: (i == F.col("n") - 1) | (F.get("w", i + 1)["pos"] > x["pos"] + 1)
+    hits = store.write(hits.select(*key, F.col("w.pos").alias("places"), F.filter("w", opens).alias("heads"), F.filter("w", closes).alias("tails")), "hits")
+    ends = hits.select(*key, F.lit(True).alias("head"), F.explode("heads").alias("e")).union(hits.select(*key, F.lit(False), F.explode("tails")))
+    ends = ends.select(*key, "head", F.col("e.digest").alias("digest"), F.col("e.first_doc").alias("first_doc"))
+    wanted = store.write(ends.groupBy(F.col("first_doc").alias("doc")).agg(F.collect_set("digest").alias("wanted")), "wanted")
+    context = store.write(context_table(rows, wanted), "context")
+    around = ends.select(*key, "head", "digest").distinct().join(context, "digest")
+    around = around.groupBy(key).agg(F.collect_list(F.struct("head", "digest", F.when(F.col("head"), F.col("before")).otherwise(F.col("behind")).alias("words"))).alias("around"))
+    marks = hits.select(*key, "places").join(around, key).join(table.filter("own").select(*key).distinct(), key, "full")
+    marks = store.write(marks.select(*key, F.coalesce("places", F.array().cast("array<int>")).alias("places"),
+                                     F.col("around.head").alias("heads"), F.col("around.digest").alias("digests"), F.col("around.words").alias("words")), "marks")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, counts = [], []
-            for places, lengths, again, begins, ends in zip(*(batch.column(k) for k in range(1, 6)), strict=True):
-                flags = np.asarray(again.values.to_numpy(zero_copy_only=False), bool).copy()
-                if places.is_valid:
-                    flags[places.values.to_numpy()] = True
-                own = repeated_runs(flags, lengths.values.to_numpy(), least)
-                if begins.is_valid:
-                    own += zip(begins.as_py(), ends.as_py(), strict=True)
-                out.append([x for span in merged(own) for x in span])
-                counts.append(int(flags.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64())), pa.array(counts, pa.int64())], names=["_row_key", "cut", "n_repeated"])
-
-    cuts = store.write(marked.mapInArrow(spans, "_row_key long, cut array<long>, n_repeated long"), "cuts")
-    base = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["doc_id"], docs["text"]).alias("_row_key")).join(cuts, "_row_key", "left")
-    raw = F.encode("text", "UTF-8")
-    # What stays: from the end of each cut span to the start of the next.
-    bounds = F.concat(F.array(F.lit(0).cast("long")), F.col("cut"), F.array(F.octet_length("text").cast("long")))
-    base = base.withColumn("_bounds", bounds)
-    left = F.transform(F.sequence(F.lit(0), F.size("_bounds") - 1, F.lit(2)), lambda k: F.decode(F.substring(raw, (F.get("_bounds", k) + 1).cast("int"), (F.get("_bounds", k + 1) - F.get("_bounds", k)).cast("int")), "UTF-8"))
-    text = F.when(F.size("cut") > 0, F.array_join(left, "")).otherwise(F.col("text"))
-    out = base.select("doc_id", text.alias("text"), F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"), F.coalesce("cut", F.array().cast("array<long>")).alias("cut"))
+            for i, j, buf, offs in blocks(batch.column(1)):
+                w = Windows(buf, offs) if batch.column(2).slice(i, j - i).null_count < j - i else None
+                texts, cuts, counts = [], [], []
+                for t in range(j - i):
+                    row, spans, n = i + t, [], 0
+                    if batch.column(2)[row].is_valid:
+                        before, behind = {}, {}
+                        if batch.column(3)[row].is_valid:
+                            for head, digest, near in zip(*(batch.column(c)[row].values for c in (3, 4, 5)), strict=True):
+                                (before if head.as_py() else behind)[digest.as_py()] = near.values.to_numpy()
+                        spans, n = repeated_spans(w, t, batch.column(2)[row].values.to_numpy().astype(np.int64), before, behind, least)
+                    edges = np.append(w.starts, offs[t + 1]) if spans else None
+                    limit = int(w.first[t + 1]) if spans else 0
+                    cut = [int(offs[t + 1] if x == limit else edges[x]) - int(offs[t]) for span in spans for x in span]
+                    raw = buf[offs[t] : offs[t + 1]].tobytes()
+                    keep = zip([0, *cut[1::2]], [*cut[::2], len(raw)], strict=True)
+                    texts.append(b"".join(raw[a:b] for a, b in keep).decode() if batch.column(1)[row].is_valid else None)
+                    cuts.append(cut)
+                    counts.append(n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(cuts, pa.list_(pa.int64()))],
+                                                 names=["doc_id", "text", "n_repeated", "cut"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    base = rows.join(marks, key, "left").select("doc_id", "text", "places", "heads", "digests", "words")
+    out = base.mapInArrow(work, f"doc_id {kind}, text string, n_repeated long, cut array<long>")
     return out.select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), "n_repeated", "cut", (F.size("cut") == 0).alias("kept"))
