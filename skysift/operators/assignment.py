@@ -7,7 +7,7 @@ through one job: `run` is part of every key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skysift.operators.ordering import hash_bucket, hash_key, positions
@@ -38,11 +38,19 @@ def stratified_subset(
     if budget is not None:
         is_pos = F.col(positive).cast("int") == 1
         kinds = runs.withColumn("_kind", F.when(is_pos, 1).otherwise(0))
-        # Negatives are taken by another order than the final one.
-        placed = shuffled(kinds, F.col("seed"), -1, keys=["run", "_kind"], id_col=id_col, out="_place")
-        counts = kinds.groupBy("run").agg(F.sum("_kind").alias("_pos"))
-        kept = placed.join(counts, "run").filter((F.col("_kind") == 1) | (F.col("_place") < F.lit(budget) - F.col("_pos")))
-        runs = kept.drop("_kind", "_place", "_pos")
+        # Negatives are taken by another order than the final one. Counts per bucket of that order tell
+        # in which bucket the last one taken lies; rows beyond it are left out before any is placed.
+        kinds = kinds.withColumn("_cut", hash_bucket(hash_key(F.col("seed"), -1, id_col)))
+        sizes = kinds.groupBy("run", "_cut").agg(F.sum("_kind").alias("_p"), F.sum(1 - F.col("_kind")).alias("_n"))
+        whole = Window.partitionBy("run")
+        before = whole.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = sizes.select("run", "_cut", F.sum("_p").over(whole).alias("_pos"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+        reach = sizes.groupBy("run").agg(F.first("_pos").alias("_pos"), F.max(F.when(F.col("_before") < F.lit(budget) - F.col("_pos"), F.col("_cut"))).alias("_last"))
+        near = kinds.join(reach, "run").filter((F.col("_kind") == 1) | (F.col("_cut") <= F.col("_last")))
+        positives = near.filter("_kind = 1")
+        placed = shuffled(near.filter("_kind = 0"), F.col("seed"), -1, id_col=id_col, out="_place")
+        taken = placed.filter(F.col("_place") < F.lit(budget) - F.col("_pos")).drop("_place")
+        runs = positives.unionByName(taken).drop("_kind", "_cut", "_pos", "_last")
     return shuffled(runs, F.col("seed"), 0, id_col=id_col, out="index")
 
 

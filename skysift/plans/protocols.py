@@ -334,7 +334,7 @@ def rating_grid(
         raise ValueError(f"unknown score {score!r}")
     spark = items.sparkSession
     store = store or TableStore(spark)
-    pool = _start(items, seed, list(columns), id_col)
+    pool = store.write_once("pool", lambda: _start(items, seed, list(columns), id_col))
 
     def make() -> DataFrame:
         batches = assign_batches(pool, views, side * side, F.col("seed")).withColumnRenamed("batch", "grp")

@@ -265,3 +265,30 @@ def test_presets(spark, name):
     out = protocols.run_preset(name, items, judge, grade, **changes)
     scores = out[2] if kind == "hybrid" else out.scores
     assert scores.count() == 16 and scores.agg(F.max("imagescore")).first()[0] > 0
+
+
+def test_ledger_keeps_answers_of_a_broken_round(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+
+    def call(group):
+        first = group["id"].min()
+        (tmp_path / "calls" / f"{first}-{len(list((tmp_path / 'calls').glob(f'{first}-*')))}").touch()
+        if 3 in set(group["id"]) and not (tmp_path / "mended").exists():
+            raise KeyError("a fault of the program")
+        return group[["slot"]].assign(kept=[int(i % 2 == 0) for i in group["id"]], input_tokens=7, output_tokens=1)
+
+    ledger = judges.CallLedger(f"file:{tmp_path}/ledger")
+    play = lambda: protocols.retention(ids(spark, 40), judges.model_judge(call, ["id"], ledger=ledger), size=4, stop=protocols.rounds(1), seed=1)
+    with pytest.raises(Exception, match="a fault of the program"):
+        play()
+    written = list((tmp_path / "ledger").rglob("[0-9]*.parquet"))
+    (tmp_path / "mended").touch()
+    out = play()
+    assert {r["id"] for r in out.survivors.collect()} == set(range(0, 40, 2))
+    assert tallies.run_tokens(out.log).first()["input_tokens"] == 70
+    seen = [p.name.split("-")[0] for p in (tmp_path / "calls").iterdir()]
+    assert len(set(seen)) == 10 and len(written) < 10
+    # Only the group that broke, and calls that had not been answered when the job ended, are made again.
+    assert len(seen) <= 10 + (10 - len(written))
+    play()
+    assert len(list((tmp_path / "calls").iterdir())) == len(seen)
