@@ -498,3 +498,28 @@ def test_pipeline_stages_on_edge_rows(spark, edges):
         docs = TableStore(spark).write(stage(spark, docs, SF), name)
         assert docs.columns == edges.columns
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_repeats_against_brute_force(spark):
+    rng = np.random.default_rng(77)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(n)]
+    shared = [fresh(int(rng.integers(45, 120))) for _ in range(12)]
+    texts = {}
+    for i in range(150):
+        parts = [fresh(int(rng.integers(5, 60)))]
+        for k in rng.choice(12, int(rng.integers(0, 3)), replace=False):
+            parts += [shared[k], fresh(int(rng.integers(5, 60)))]
+        texts[i] = [w for p in parts for w in p]
+    # Plain rule: every word that lies in 45 words found in a document before goes, others stay.
+    seen, want = set(), {}
+    for i, ws in texts.items():
+        gone, own = set(), [tuple(ws[k : k + 45]) for k in range(len(ws) - 44)]
+        for k, x in enumerate(own):
+            if x in seen:
+                gone.update(range(k, k + 45))
+        seen.update(own)
+        want[i] = [w for k, w in enumerate(ws) if k not in gone]
+    rows = spark.createDataFrame([(i, " ".join(ws), "x", 0) for i, ws in texts.items()], "doc_id long, text string, row_key string, doc int")
+    got = {r.doc_id: r for r in substring_dedup.drop_repeats(rows, TableStore(spark)).collect()}
+    assert {i: r.text.split() for i, r in got.items()} == want
+    assert all(r.kept == (len(want[i]) == len(texts[i])) for i, r in got.items())
