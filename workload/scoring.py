@@ -125,7 +125,7 @@ def retention_log(spark, sf):
 ELIMINATION_ROUNDS = 18
 
 
-def _elimination() -> str:
+def _elimination_rounds() -> str:
     """Rounds until one is left; a pool of one goes through unchanged."""
     parts = ["p0 AS (SELECT c_custkey AS id, 0 AS score FROM customer)"]
     strong = md5_key("'strength'", "id")
@@ -137,13 +137,23 @@ def _elimination() -> str:
     return "WITH " + ",\n".join(parts)
 
 
-@register("single_elimination", _elimination() + "SELECT id, max(score)::BIGINT AS imagescore FROM ("
+def _elimination() -> str:
+    """Rounds until one is left; a pool of one goes through unchanged. Each row stands with the size of its pool."""
+    strong = md5_key("'strength'", "id")
+    return f"""WITH RECURSIVE p AS (SELECT c_custkey AS id, 0 AS score, count(*) OVER () AS n FROM customer UNION ALL
+      SELECT id, score + 1, count(*) OVER () FROM (SELECT * FROM (
+          SELECT *, row_number() OVER (ORDER BY {md5_key("'42'", "score + 1", "id")}, id) - 1 AS idx FROM p WHERE n > 1)
+        QUALIFY row_number() OVER (PARTITION BY idx // 2 ORDER BY {strong} DESC, idx) = 1))
+    """
+
+
+@register("single_elimination", _elimination_rounds() + "SELECT id, max(score)::BIGINT AS imagescore FROM ("
           + " UNION ALL ".join(f"SELECT id, score FROM p{r}" for r in range(ELIMINATION_ROUNDS + 1)) + ") GROUP BY id")
 def single_elimination(spark, sf):
     return protocols.elimination(views.judged_items(spark, sf), strength(), seed=SEED).scores.select("id", "imagescore")
 
 
-@register("champion", _elimination() + f"SELECT id, score::BIGINT AS imagescore FROM p{ELIMINATION_ROUNDS}")
+@register("champion", _elimination() + "SELECT id, score::BIGINT AS imagescore FROM p WHERE n = 1")
 def champion(spark, sf):
     out = protocols.elimination(views.judged_items(spark, sf), strength(), seed=SEED)
     return protocols.champion(out).select("id", "imagescore")
