@@ -16,3 +16,7 @@ def con():
 def test_champion(con):
     rows = con.execute(entry.oracle_sql()["champion"]).fetchall()
     assert len(rows) == 1 and 18 < rows[0][1] <= 20
+
+
+def test_exact_target(con):
+    assert con.execute(f"SELECT sum(imagescore) FROM ({entry.oracle_sql()['exact_target']})").fetchone()[0] == 100

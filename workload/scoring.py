@@ -197,18 +197,14 @@ def weak_stop(spark, sf):
     return out.scores.withColumn("imagescore", F.col("imagescore").cast("bigint"))
 
 
-TARGET_ROUNDS = 22
-
-
 def _to_target(left: int) -> str:
-    """Rounds that remove at most as many as the target allows, first places first."""
-    parts = ["p0 AS (SELECT c_custkey AS id FROM customer)"]
-    for r in range(1, TARGET_ROUNDS + 1):
-        parts.append(f"""g{r} AS (SELECT *, row_number() OVER (ORDER BY {md5_key("'42'", f"'{r}'", "id")}, id) - 1 AS idx,
-            count(*) OVER () AS n FROM p{r - 1}),
-          f{r} AS (SELECT *, {_kept(7, r)} AS kept FROM g{r}),
-          p{r} AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY kept ORDER BY idx) AS place FROM f{r}) WHERE kept OR place > n - {left})""")
-    return "WITH " + ",\n".join(parts) + f"SELECT c_custkey AS id, (c_custkey IN (SELECT id FROM p{TARGET_ROUNDS}))::INT::BIGINT AS imagescore FROM customer"
+    """Rounds that remove at most as many as the target allows, first places first, until the target is reached."""
+    return f"""WITH RECURSIVE p AS (SELECT c_custkey AS id, 0 AS round, count(*) OVER () AS n FROM customer UNION ALL
+      SELECT id, round + 1, count(*) OVER () FROM (SELECT *, row_number() OVER (PARTITION BY kept ORDER BY idx) AS place FROM (
+          SELECT *, {md5_key("'keep'", "round + 1", "id")} % 10 < 7 AS kept,
+            row_number() OVER (ORDER BY {md5_key("'42'", "round + 1", "id")}, id) - 1 AS idx FROM p WHERE n > {left}))
+        WHERE kept OR place > n - {left})
+    SELECT c_custkey AS id, (c_custkey IN (SELECT id FROM p WHERE n <= {left}))::INT::BIGINT AS imagescore FROM customer"""
 
 
 @register("exact_target", _to_target(100))
