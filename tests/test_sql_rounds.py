@@ -20,3 +20,9 @@ def test_champion(con):
 
 def test_exact_target(con):
     assert con.execute(f"SELECT sum(imagescore) FROM ({entry.oracle_sql()['exact_target']})").fetchone()[0] == 100
+
+
+def test_single_elimination(con):
+    sql = entry.oracle_sql()["single_elimination"]
+    best = con.execute(f"SELECT imagescore, count(*) FROM ({sql}) GROUP BY 1 ORDER BY 1 DESC LIMIT 2").fetchall()
+    assert best == [(20, 1), (19, 1)]

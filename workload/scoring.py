@@ -122,21 +122,6 @@ def retention_log(spark, sf):
     return out.log.select("run", "round", "id", "idx", "grp", "kept")
 
 
-ELIMINATION_ROUNDS = 18
-
-
-def _elimination_rounds() -> str:
-    """Rounds until one is left; a pool of one goes through unchanged."""
-    parts = ["p0 AS (SELECT c_custkey AS id, 0 AS score FROM customer)"]
-    strong = md5_key("'strength'", "id")
-    for r in range(1, ELIMINATION_ROUNDS + 1):
-        parts.append(f"""g{r} AS (SELECT *, row_number() OVER (ORDER BY {md5_key("'42'", f"'{r}'", "id")}, id) - 1 AS idx,
-            count(*) OVER () AS n FROM p{r - 1}),
-          p{r} AS (SELECT id, score + CASE WHEN n > 1 THEN 1 ELSE 0 END AS score FROM g{r}
-            QUALIFY row_number() OVER (PARTITION BY idx // 2 ORDER BY {strong} DESC, idx) = 1)""")
-    return "WITH " + ",\n".join(parts)
-
-
 def _elimination() -> str:
     """Rounds until one is left; a pool of one goes through unchanged. Each row stands with the size of its pool."""
     strong = md5_key("'strength'", "id")
@@ -147,8 +132,7 @@ def _elimination() -> str:
     """
 
 
-@register("single_elimination", _elimination_rounds() + "SELECT id, max(score)::BIGINT AS imagescore FROM ("
-          + " UNION ALL ".join(f"SELECT id, score FROM p{r}" for r in range(ELIMINATION_ROUNDS + 1)) + ") GROUP BY id")
+@register("single_elimination", _elimination() + "SELECT id, max(score)::BIGINT AS imagescore FROM p GROUP BY id")
 def single_elimination(spark, sf):
     return protocols.elimination(views.judged_items(spark, sf), strength(), seed=SEED).scores.select("id", "imagescore")
 
