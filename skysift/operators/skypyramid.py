@@ -7,7 +7,7 @@ few large cells its cone reaches and carries the best row met so far. It opens a
 node only if the node's box comes nearer than that row (nearest), or meets the cone
 and holds a row that comes before it (ranked). Every cell is cut in 16 by 16, so
 that an opened node has at most 256 nodes below it, and nothing is compared with
-all rows of a crowded cell. Below the finest cells, 1/256 of a large one wide, come
+all rows of a crowded cell. Below the finest cells, 1/65536 of a large one wide, come
 the positions themselves, so the search is exact at any density.
 
 All of it is one lazy plan: one read of each side, no job while it is built.
@@ -26,7 +26,7 @@ from skysift.functions import sky
 
 # A cell is cut in 2^BITS by 2^BITS, LEVELS times. This bounds the joins of a plan, not what they find:
 # what shares a finest cell is searched by position.
-BITS, LEVELS = 4, 2
+BITS, LEVELS = 4, 4
 FINEST = BITS * LEVELS
 
 # A large cell of at most so many positions has no node; a search meets these at once.
@@ -127,6 +127,11 @@ def search(left: DataFrame, right: DataFrame, radius: float, nearest: bool, left
                      state=state, nodes=nodes)
         return met(pairs, f"least(best, {found})")
 
+    # Searches from one position find the same row, so one of them is made, however many there are. Both readers of `placed`
+    # use its whole row, so that they share one shuffle.
+    placed = step(f"""SELECT /*+ REPARTITION(left_ra, left_dec) */ left_ra, left_dec, struct({lefts}) AS mine FROM {{left}}
+        WHERE left_ra IS NOT NULL AND left_dec IS NOT NULL""", left=left)
+    spots = step("SELECT mine.* FROM (SELECT min(mine) AS mine FROM {placed} GROUP BY left_ra, left_dec)", placed=placed)
     whole = float(1 << FINEST)
     # Rows at one position cannot differ in distance: one of them is enough, however many there are. Every reader of
     # `points` uses its whole row, so that they ask for the same columns and share one shuffle; so do those of `nodes`,
@@ -148,14 +153,14 @@ def search(left: DataFrame, right: DataFrame, radius: float, nearest: bool, left
     entries = step(f"""SELECT row, row.turn AS ra_lo, row.turn AS ra_hi, row.dec AS dec_lo, row.dec AS dec_hi, row.z AS _z, row.c AS _c FROM {{counted}} WHERE n <= {LEAF}
         UNION ALL SELECT row, ra_lo, ra_hi, dec_lo, dec_hi, _z, _c FROM {{roots}} WHERE n > {LEAF}""", counted=counted, roots=roots)
     first = step(f"""SELECT * FROM ({_placed("{left}", "left_ra", "left_dec", height)}) l JOIN ({_reaching(radius, height)}) r
-        ON _hz = _zone AND _hc = _cell AND {_box_distance("_turn", "left_dec")} <= {room}""", left=left, entries=entries)
+        ON _hz = _zone AND _hc = _cell AND {_box_distance("_turn", "left_dec")} <= {room}""", left=spots, entries=entries)
     level0 = met(first, found)
     deeper = step("SELECT * FROM {level0} WHERE size(nodes) > 0", level0=level0)
     for level in range(1, LEVELS + 2):
         deeper = below(deeper, level)
+    best = step(f"""SELECT left_ra, left_dec, best FROM {{level0}} WHERE size(nodes) = 0 AND best IS NOT NULL
+        UNION ALL SELECT left_ra, left_dec, best FROM {{deeper}} WHERE size(nodes) >= 0 AND best IS NOT NULL""", level0=level0, deeper=deeper)
     # A left id may stand at several positions.
-    return step(f"""SELECT left_id, last.best.sep AS sep, last.best.values AS values{''.join(f", last.`{c}`" for c in left_keep)}
-        FROM (SELECT left_id, min(struct({', '.join(['best', *(f'`{c}`' for c in left_keep)])})) AS last FROM (
-            SELECT {lefts}, best FROM {{level0}} WHERE size(nodes) = 0 AND best IS NOT NULL
-            UNION ALL SELECT {lefts}, best FROM {{deeper}} WHERE size(nodes) >= 0 AND best IS NOT NULL) GROUP BY left_id)""",
-                level0=level0, deeper=deeper)
+    return step(f"""SELECT left_id, last.best.sep AS sep, last.best.values AS values{''.join(f", last.mine.`{c}`" for c in left_keep)}
+        FROM (SELECT mine.left_id AS left_id, min(struct(best, mine)) AS last
+              FROM {{placed}} JOIN {{best}} USING (left_ra, left_dec) GROUP BY mine.left_id)""", placed=placed, best=best)

@@ -188,3 +188,17 @@ def test_mentions(spark):
     texts = spark.createDataFrame([("m2", "u", "s")], "mention_id string, arxiv_url string, summary string")
     got = {r["id"]: (r["object_name"], r["arxiv_url"], r["summary"]) for r in skyjoin.nearest_mention(images, seen, texts).collect()}
     assert got == {"a": ("NGC 1", "", ""), "b": ("M 2", "u", "s")}
+
+
+def test_many_searches_from_few_positions(spark):
+    """Each position is searched from once, and all that stand there get its answer with their own columns."""
+    rng = random.Random(5)
+    spots = [(200.0 + rng.random() / 1000, 10.0 + rng.random() / 1000) for _ in range(20)]
+    left = spark.createDataFrame([(i, *spots[i % 20], f"c{i}") for i in range(2000)], "id long, ra double, dec double, class string")
+    right = spark.createDataFrame([(j, 200.0 + rng.random() / 1000, 10.0 + rng.random() / 1000) for j in range(300)], "oid long, ra double, dec double")
+    found = skyjoin.best_in_cone(left, right, 3.0, right_id="oid", left_keep=["class"]).collect()
+    assert len(found) == 2000 and all(r["class"] == f"c{r['left_id']}" for r in found)
+    one = {r["left_id"]: (r["right_id"], r["sep"]) for r in skyjoin.best_in_cone(left.filter("id < 20"), right, 3.0, right_id="oid").collect()}
+    assert all((r["right_id"], r["sep"]) == one[r["left_id"] % 20] for r in found)
+    plan = skyjoin.best_in_cone(left, right, 3.0, right_id="oid")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(mine" in plan
