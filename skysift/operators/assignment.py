@@ -21,7 +21,9 @@ def shuffled(
     parts = [seed, round, id_col] + ([copy] if copy else [])
     keyed = df.withColumn("_key", hash_key(*parts))
     order = [F.col("_key"), F.col(id_col)] + ([F.col(copy)] if copy else [])
-    return positions(keyed, list(keys), hash_bucket("_key"), order, out, total).drop("_key")
+    # A hash of text is never null. Said here, Spark need not work it out once more to ask.
+    bucket = F.coalesce(hash_bucket("_key"), F.lit(0))
+    return positions(keyed, list(keys), bucket, order, out, total).drop("_key")
 
 
 def with_runs(df: DataFrame, seeds: list[int]) -> DataFrame:
@@ -82,7 +84,11 @@ def assign_batches(pool: DataFrame, copies: int, size: int, seed: Column | int,
 
     One image can be twice in a batch. Give it ids only: it multiplies the rows.
     """
-    many = pool.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
+    # The rows are dealt over all tasks before they are multiplied and hashed: a pool of millions is a
+    # file of a few MB, which one task would read.
+    parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = pool.repartition(parts, "run", id_col)
+    many = spread.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     placed = shuffled(many, seed, 0, id_col=id_col, copy="copy")
     return placed.withColumn("batch", (F.floor(F.col("idx") / size) + 1).cast("bigint")).withColumn(
         "slot", (F.col("idx") % size + 1).cast("int")

@@ -47,6 +47,18 @@ def test_batches(spark):
     assert any(len(set(v)) < len(v) for v in per_batch.values())  # an image may be twice in a grid
 
 
+def test_copies_of_a_small_file_are_made_and_hashed_in_many_tasks(spark, tmp_path):
+    # A pool of millions is one file of a few MB: one task made and hashed all its copies, each hash twice.
+    pool(spark, 40).coalesce(1).write.parquet(str(tmp_path / "pool"))
+    placed = assignment.assign_batches(spark.read.parquet(str(tmp_path / "pool")), 10, 16, 42)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    branches = plan.split("Generate explode(")[1:]
+    # Places and counts per bucket: each makes the copies above a shuffle of the rows, and hashes a copy once.
+    assert len(branches) == 2 and all("REPARTITION_BY_NUM" in b.split("FileScan")[0] for b in branches)
+    assert plan.count("md5(") == 2
+    assert sorted(r["idx"] for r in placed.collect()) == list(range(400))
+
+
 @pytest.mark.parametrize("budget, size", [(None, 20), (12, 12), (3, 5), (100, 20)])
 def test_subset(spark, budget, size):
     records = spark.range(20).select("id", (F.col("id") < 5).cast("int").alias("interesting"))
